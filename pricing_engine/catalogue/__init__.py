@@ -1,0 +1,6 @@
+"""Named queries over the test data, and the SQL that must give the same rows."""
+
+from pricing_engine.catalogue import stored, stored_sql
+
+QUERIES = {**stored.QUERIES}
+ORACLES = {**stored_sql.ORACLES}

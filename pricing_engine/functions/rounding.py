@@ -13,15 +13,13 @@ def exact_round(value: Column, digits: int) -> Column:
     is a little below in binary) would go up.  Here the fraction is scaled to a
     whole number of 2**-52 and compared with the midpoint in BIGINT arithmetic.
     """
-    unit = F.lit(1 << 52)
-    half = F.lit(1 << 51)
     ten = 10**digits
     whole = F.floor(value)
     scaled = ((value - whole) * F.lit(float(1 << 52))).cast("bigint") * F.lit(ten)
-    steps = F.shiftright(scaled, 52)
-    rest = scaled - steps * unit
-    up = F.when((rest > half) | ((rest == half) & (steps % 2 == 1)), 1).otherwise(0)
-    return (whole * ten + steps + up).cast("double") / F.lit(float(ten))
+    # half a step up, less one unit where the step below is even: half goes to even
+    odd = F.shiftright(scaled, 52).bitwiseAND(F.lit(1).cast("bigint"))
+    steps = F.shiftright(scaled + F.lit((1 << 51) - 1) + odd, 52)
+    return (whole * ten + steps).cast("double") / F.lit(float(ten))
 
 
 def fixed_text(value: Column, digits: int) -> Column:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricing_engine.operators.history import PRODUCT_KEY, latest_batch
 from pricing_engine.sources.tables import valid_prices
 
-_BOUNDS = (
-    F.max("max_price").alias("max_price"),
-    F.min("min_price").alias("min_price"),
-    F.max("last_updated").alias("last_updated"),
-)
+
+def _bounds() -> list[Column]:
+    return [
+        F.max("max_price").alias("max_price"),
+        F.min("min_price").alias("min_price"),
+        F.max("last_updated").alias("last_updated"),
+    ]
 
 
 def _as_bounds(prices: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def _as_bounds(prices: DataFrame) -> DataFrame:
 
 def batch_metrics(prices: DataFrame) -> DataFrame:
     """Highest and lowest price and newest date of a batch, per product and vendor."""
-    return _as_bounds(prices).groupBy(*PRODUCT_KEY).agg(*_BOUNDS)
+    return _as_bounds(prices).groupBy(*PRODUCT_KEY).agg(*_bounds())
 
 
 def fold_metrics(existing: DataFrame, prices: DataFrame) -> DataFrame:
@@ -38,7 +40,7 @@ def fold_metrics(existing: DataFrame, prices: DataFrame) -> DataFrame:
     """
     columns = [*PRODUCT_KEY, "max_price", "min_price", "last_updated"]
     rows = existing.select(columns).unionByName(_as_bounds(prices))
-    return rows.groupBy(*PRODUCT_KEY).agg(*_BOUNDS)
+    return rows.groupBy(*PRODUCT_KEY).agg(*_bounds())
 
 
 def fold_latest_batch(existing: DataFrame, history: DataFrame) -> DataFrame:
@@ -78,9 +80,13 @@ def group_metrics(membership: DataFrame, metrics: DataFrame) -> DataFrame:
     """Bounds per group; a group without any metrics stays, with nulls."""
     return (
         membership.select("group_id", "group_name", "category", *PRODUCT_KEY)
-        .join(metrics, PRODUCT_KEY, "left")
+        .join(
+            metrics.select(*PRODUCT_KEY, "max_price", "min_price", "last_updated"),
+            PRODUCT_KEY,
+            "left",
+        )
         .groupBy("group_id", "group_name", "category")
-        .agg(*_BOUNDS)
+        .agg(*_bounds())
     )
 
 

@@ -62,7 +62,7 @@ def analyse_snapshot(
     order = F.struct("current_price", -F.unix_date("last_seen_date"), "vendor", "product_id")
     groups = (
         membership.select("group_id", "group_name", "category", *PRODUCT_KEY)
-        .join(snapshot, PRODUCT_KEY)
+        .join(snapshot.drop("category"), PRODUCT_KEY)
         .groupBy("group_id", "group_name", "category")
         .agg(
             F.max("max_price").alias("max_price"),

@@ -7,15 +7,16 @@ size allows it.  Only the supplier lookup, built by two joins, is counted first.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricing_engine.operators.history import ARRIVAL, ARRIVAL_TYPE, HISTORY_KEY, keep_last
+from pricing_engine.operators.metrics import batch_metrics, group_metrics
 from pricing_engine.session import lookup_side
 
 
 
-def arrival() -> F.Column:
+def arrival() -> Column:
     """Order key, line number (1 to 7) and supplier key as one ascending number."""
     line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(20,0)")
     shift = F.lit(10**12).cast("decimal(13,0)")
@@ -37,7 +38,7 @@ def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_side(regions, suppliers)
 
 
-def product_name() -> F.Column:
+def product_name() -> Column:
     """A shelf name from brand, name, size and a model number, in five spellings.
 
     Every sixteenth part goes without a model number.
@@ -63,23 +64,36 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every observed price, with its arrival number."""
+def records(spark: SparkSession, sf_dir: str, lines: str | None = None) -> DataFrame:
+    """Every line, or those that a condition selects, as an ingested record."""
+    rows = read(spark, sf_dir, "lineitem")
+    if lines is not None:
+        rows = rows.where(lines)
     return (
-        read(spark, sf_dir, "lineitem")
-        .join(vendors(spark, sf_dir), "l_suppkey")
+        rows.join(vendors(spark, sf_dir), "l_suppkey")
         .join(parts(spark, sf_dir), "l_partkey")
         .select(
             F.col("l_shipdate").cast("date").alias("date"),
             F.col("l_partkey").cast("string").alias("product_id"),
             "vendor",
+            "product_name",
             "category",
             F.col("l_extendedprice").alias("price"),
+            source().alias("source"),
             arrival().alias(ARRIVAL),
         )
     )
 
 
+def source() -> Column:
+    return F.when(F.col("l_partkey") % 3 == 0, "specific").otherwise("search")
+
+
+def observations(spark: SparkSession, sf_dir: str, lines: str | None = None) -> DataFrame:
+    """Every observed price, with its arrival number."""
+    return records(spark, sf_dir, lines).drop("product_name", "source")
+
+
 def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observations as stored: the last one per date, product, vendor and category."""
     return keep_last(observations(spark, sf_dir), HISTORY_KEY)
@@ -103,7 +117,7 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vendor",
         "product_name",
         "category",
-        F.when(F.col("l_partkey") % 3 == 0, "specific").otherwise("search").alias("source"),
+        source().alias("source"),
         "last_seen",
     )
 
@@ -118,3 +132,12 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vendor",
         "product_name",
     )
+
+
+def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All-time bounds over the stored history."""
+    return batch_metrics(price_history(spark, sf_dir))
+
+
+def group_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_metrics(membership(spark, sf_dir), metrics(spark, sf_dir))
