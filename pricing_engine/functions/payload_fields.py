@@ -32,20 +32,6 @@ def first_match(text: Column, pattern: str, group: int = 1) -> Column:
     return blank_to_null(F.regexp_extract(text, pattern, group))
 
 
-def json_field(body: Column, name: str) -> Column:
-    return F.get_json_object(body, f"$.{name}")
-
-
-def json_text(body: Column, name: str) -> Column:
-    """A field as text; null when absent, null or empty."""
-    return blank_to_null(json_field(body, name))
-
-
-def json_has_key(body: Column, name: str) -> Column:
-    """True also for a key whose value is null."""
-    return F.coalesce(F.array_contains(F.json_object_keys(body), name), F.lit(False))
-
-
 def with_brand(brand: Column, name: Column) -> Column:
     """``brand name`` unless the name holds the brand already, in any case."""
     missing = F.coalesce(blank_to_null(brand).isNotNull() & ~F.contains(F.lower(name), F.lower(brand)), F.lit(False))
@@ -131,15 +117,14 @@ def halve_repeated(values: Column) -> Column:
     return F.when((F.size(values) > 0) & twice, F.slice(values, F.lit(1), half)).otherwise(values)
 
 
-def pack_price(text: Column) -> Column:
+def pack_price(amounts: Column, text: Column) -> Column:
     """The first price; on pages priced per item, the full price of the last pack.
 
     Such pages list, after the selected price, pairs of pack price and item price.
     """
-    values = halve_repeated(money_values(text))
+    values = halve_repeated(amounts)
     first = F.get(values, F.lit(0))
-    packs = F.slice(values, F.lit(2), F.greatest(F.size(values), F.lit(0)))
-    full = F.filter(packs, lambda x, i: i % 2 == 0)
+    full = F.filter(values, lambda x, i: i % 2 == 1)
     by_pack = text.rlike(PER_ITEM) & (F.size(values) >= 3)
     return F.when(by_pack, F.try_element_at(full, F.lit(-1))).otherwise(first)
 

@@ -6,19 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_BITS = 56
+
+
 def exact_round(value: Column, digits: int) -> Column:
-    """Round to the decimal nearest to the exact binary value of a double.
+    """Round to 1 or 2 digits by the exact binary value of a double.
 
     ``round`` and ``bround`` first print the double in decimal, so 98.695 (which
     is a little below in binary) would go up.  Here the fraction is scaled to a
-    whole number of 2**-52 and compared with the midpoint in BIGINT arithmetic.
+    whole number of 2**-56, which is exact from 1/16 on, and rounded in BIGINT
+    arithmetic.
     """
     ten = 10**digits
     whole = F.floor(value)
-    scaled = ((value - whole) * F.lit(float(1 << 52))).cast("bigint") * F.lit(ten)
+    scaled = ((value - whole) * F.lit(float(1 << _BITS))).cast("bigint") * F.lit(ten)
     # half a step up, less one unit where the step below is even: half goes to even
-    odd = F.shiftright(scaled, 52).bitwiseAND(F.lit(1).cast("bigint"))
-    steps = F.shiftright(scaled + F.lit((1 << 51) - 1) + odd, 52)
+    odd = F.shiftright(scaled, _BITS).bitwiseAND(F.lit(1).cast("bigint"))
+    steps = F.shiftright(scaled + F.lit((1 << (_BITS - 1)) - 1) + odd, _BITS)
     return (whole * ten + steps).cast("double") / F.lit(float(ten))
 
 

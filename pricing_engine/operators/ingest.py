@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pricing_engine.functions import html as H
 from pricing_engine.functions import payload_fields as P
 from pricing_engine.functions.text import folded_term, iso_date, safe_number, strip_spaces
+from pricing_engine.session import computed_once
 
 # Fixed values
 SEARCH, SPECIFIC = "search", "specific"
@@ -27,66 +28,107 @@ _CONTEXT = ["vendor", "category", "source", "search_term", "seq", "requested_pro
 Reader = Callable[[DataFrame], DataFrame]
 
 
-def _records(payloads: DataFrame, product_id: Column, name: Column, price: Column, **flags: Column) -> DataFrame:
-    return payloads.select(
+def _records(
+    payloads: DataFrame,
+    product_id: Column,
+    name: Column,
+    price: Column,
+    known_source: Column,
+    name_required: bool,
+) -> DataFrame:
+    return computed_once(
+        payloads,
         *_CONTEXT,
-        F.col("request_url"),
         P.blank_to_null(strip_spaces(product_id)).alias("product_id"),
         name.alias("product_name"),
         safe_number(price).alias("price"),
-        *[value.alias(flag) for flag, value in flags.items()],
+        known_source.alias("known_source"),
+        F.lit(name_required).alias("name_required"),
     )
 
 
+def _json_fields(payloads: DataFrame, fields: list[str]) -> DataFrame:
+    """The body parsed once, as ``j``, with the top-level keys it states as ``keys``."""
+    schema = ", ".join(f"{field} string" for field in fields)
+    return computed_once(
+        payloads,
+        *_CONTEXT,
+        F.from_json("body", schema).alias("j"),
+        F.coalesce(F.json_object_keys("body"), F.array()).alias("keys"),
+    )
+
+
+def _text(field: str) -> Column:
+    return P.blank_to_null(F.col(f"j.{field}"))
+
+
+def _known_source() -> Column:
+    return F.coalesce(F.col("source").isin(SOURCES), F.lit(False))
+
+
 def read_json_list_price(payloads: DataFrame) -> DataFrame:
     """JSON with ``id``/``slug``, ``brand``, ``name`` and ``price``.
 
     A ``discount_price`` key replaces the price even when its value is null.
     """
-    body = F.col("body")
-    name = F.coalesce(P.json_field(body, "name"), F.lit(""))
-    null_name = P.json_has_key(body, "name") & P.json_field(body, "name").isNull()
-    price = F.when(
-        P.json_has_key(body, "discount_price"), P.json_field(body, "discount_price")
-    ).otherwise(P.json_field(body, "price"))
-    product_id = F.coalesce(P.json_text(body, "id"), P.json_text(body, "slug"))
+    parsed = _json_fields(payloads, ["id", "slug", "brand", "name", "price", "discount_price"])
+    null_name = F.array_contains("keys", "name") & F.col("j.name").isNull()
+    name = F.when(~null_name, F.coalesce("j.name", F.lit("")))
+    discounted = F.array_contains("keys", "discount_price")
     return _records(
-        payloads,
-        product_id,
-        P.with_brand(P.json_text(body, "brand"), F.when(~null_name, name)),
-        price,
-        known_source=F.col("source").isin(SOURCES),
-        name_required=F.lit(False),
+        parsed,
+        F.coalesce(_text("id"), _text("slug")),
+        P.with_brand(_text("brand"), name),
+        F.when(discounted, F.col("j.discount_price")).otherwise(F.col("j.price")),
+        _known_source(),
+        name_required=False,
     )
 
 
+_SIZED_FIELDS = [
+    "id", "product_id", "sku", "url", "source_url", "brand", "product_brand", "name",
+    "product_name", "size", "product_size", "discount_price", "price", "current_price",
+]
+
+
 def read_json_sized(payloads: DataFrame) -> DataFrame:
     """JSON of search hits or details: ``product_*`` or plain keys, size kept apart."""
-    body = F.col("body")
 
-    def first_of(*keys: str) -> Column:
-        return F.coalesce(*[P.json_text(body, key) for key in keys])
+    def first_of(*fields: str) -> Column:
+        return F.coalesce(*[_text(field) for field in fields])
 
-    direct = first_of("id", "product_id", "sku")
-    search_id = P.detail_id(F.coalesce(direct, first_of("url", "source_url")))
+    parsed = _json_fields(payloads, _SIZED_FIELDS)
+    hit = P.detail_id(F.coalesce(first_of("id", "product_id", "sku"), first_of("url", "source_url")))
     detail = F.coalesce(first_of("id", "sku"), P.detail_id(F.col("requested_product_id")))
-    name = F.coalesce(first_of("name", "product_name"), F.lit(""))
-    price = F.coalesce(*[P.json_field(body, k) for k in ("discount_price", "price", "current_price")])
+    named = computed_once(
+        parsed,
+        *_CONTEXT,
+        "j",
+        F.when(F.col("source") == SPECIFIC, detail).otherwise(hit).alias("id"),
+        P.with_brand(
+            first_of("brand", "product_brand"), F.coalesce(first_of("name", "product_name"), F.lit(""))
+        ).alias("name"),
+    )
     return _records(
-        payloads,
-        F.when(F.col("source") == SPECIFIC, detail).otherwise(search_id),
-        P.with_size(P.with_brand(first_of("brand", "product_brand"), name), first_of("size", "product_size")),
-        price,
-        known_source=F.col("source").isin(SOURCES),
-        name_required=F.lit(False),
+        named,
+        F.col("id"),
+        P.with_size(F.col("name"), first_of("size", "product_size")),
+        F.coalesce("j.discount_price", "j.price", "j.current_price"),
+        _known_source(),
+        name_required=False,
     )
 
 
+def _with_text(payloads: DataFrame, drop_noscript: bool) -> DataFrame:
+    text = H.visible_text(F.col("body"), drop_noscript).alias("text")
+    return computed_once(payloads, *_CONTEXT, "final_url", "body", text)
+
+
 def html_heading_reader(site_suffix: str) -> Reader:
     """HTML with the name in a heading and the id in a ``/buy/<id>`` path."""
 
     def read(payloads: DataFrame) -> DataFrame:
-        text = payloads.withColumn("text", H.visible_text(F.col("body")))
+        text = _with_text(payloads, drop_noscript=False)
         product_id = F.coalesce(
             P.buy_id(F.col("final_url")),
             P.page_product_id(F.col("text")),
@@ -97,8 +139,8 @@ def html_heading_reader(site_suffix: str) -> Reader:
             product_id,
             H.page_name(F.col("body"), site_suffix),
             P.first_positive_price(F.col("text")),
-            known_source=F.lit(True),
-            name_required=F.lit(True),
+            F.lit(True),
+            name_required=True,
         )
 
     return read
@@ -106,19 +148,24 @@ def html_heading_reader(site_suffix: str) -> Reader:
 
 def read_html_slug(payloads: DataFrame) -> DataFrame:
     """HTML with the name in the URL's slug, a SKU block and pack prices."""
-    text = payloads.withColumn("text", H.visible_text(F.col("body"), drop_noscript=True))
+    text = _with_text(payloads, drop_noscript=True)
     slug = P.product_slug(F.col("final_url"))
-    name = P.with_pack_label(
-        F.coalesce(P.slug_name(slug), F.lit("")), P.pack_label(F.col("text"))
+    named = computed_once(
+        text,
+        *_CONTEXT,
+        "text",
+        F.coalesce(P.slug_name(slug), F.lit("")).alias("name"),
+        P.pack_label(F.col("text")).alias("label"),
+        P.money_values(F.col("text")).alias("amounts"),
     )
     product_id = F.coalesce(P.sku(F.col("text")), P.product_slug(F.col("requested_product_id")))
     return _records(
-        text,
+        named,
         product_id,
-        name,
-        P.pack_price(F.col("text")),
-        known_source=F.lit(True),
-        name_required=F.lit(True),
+        P.with_pack_label(F.col("name"), F.col("label")),
+        P.pack_price(F.col("amounts"), F.col("text")),
+        F.lit(True),
+        name_required=True,
     )
 
 
@@ -129,24 +176,23 @@ def normalise(payloads: DataFrame, readers: Mapping[str, Reader], as_of: str) ->
     return rows.withColumn("date", iso_date(F.lit(as_of)))
 
 
-def reject_reason(flags: bool = True) -> Column:
+def reject_reason() -> Column:
     """Why a record cannot be used; null for a good one."""
-    name_missing = F.col("product_name").isNull()
-    reason = F.when(F.col("product_id").isNull(), "missing id")
-    if flags:
-        name_missing = name_missing | (F.col("name_required") & (F.col("product_name") == ""))
-    reason = reason.when(name_missing, "missing name").when(F.col("price").isNull(), "missing price")
-    if flags:
-        reason = reason.when(~F.coalesce("known_source", F.lit(False)), "unknown source")
-    else:
-        reason = reason.when(~F.coalesce(F.col("source").isin(SOURCES), F.lit(False)), "unknown source")
-    return reason.when(F.col("date").isNull(), "unreadable date")
-
-
-def split_rejects(records: DataFrame, flags: bool = True) -> tuple[DataFrame, DataFrame]:
+    nameless = F.col("product_name").isNull() | (F.col("name_required") & (F.col("product_name") == ""))
+    return (
+        F.when(F.col("product_id").isNull(), "missing id")
+        .when(nameless, "missing name")
+        .when(F.col("price").isNull(), "missing price")
+        .when(~F.col("known_source"), "unknown source")
+        .when(F.col("date").isNull(), "unreadable date")
+    )
+
+
+def split_rejects(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Usable records, and the others with a ``reason``."""
-    marked = records.withColumn("reason", reject_reason(flags))
-    return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())
+    marked = records.withColumn("reason", reject_reason())
+    good, bad = marked.where(F.col("reason").isNull()), marked.where(F.col("reason").isNotNull())
+    return good.drop("reason"), bad
 
 
 def first_seen(hits: DataFrame, keys: list[str], arrival: list[str]) -> DataFrame:

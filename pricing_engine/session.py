@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,6 +47,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared folder, for plans that use it several times.
+
+    Unlike a cached frame it survives the loss of executors, and unlike a
+    checkpoint it is read by column and has a known size.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def computed_once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Select costly columns so that they are evaluated once per row.
+
+    A filter on a plain projection is rewritten in terms of its inputs, which
+    repeats regex chains.  No filter is pushed through a generator.
+    """
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     shared_folder(df.sparkSession)
