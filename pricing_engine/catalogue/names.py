@@ -159,7 +159,9 @@ def _all_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def name_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of names that may match as far as brand, numbers and penalties tell."""
-    return gated_pairs(_all_names(spark, sf), S.DEFAULT_MIN_SCORE)
+    return gated_pairs(_all_names(spark, sf), S.DEFAULT_MIN_SCORE).select(
+        "category", "l_name", "r_name", "penalty", "penalty_reasons"
+    )
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,7 +266,7 @@ def json_payloads(spark: SparkSession, sf: str) -> DataFrame:
     )
     null_discount = F.concat(F.substring(body, 1, 1), F.lit('"discount_price":null,'), F.substring(body, 2, 10000))
     source = F.when(key % 17 == 0, F.lit("gift")).when(line <= 4, I.SEARCH).otherwise(I.SPECIFIC)
-    lines = T.read(spark, sf, "lineitem").join(T.vendors(spark, sf), "l_suppkey")
+    lines = T.lines_of(spark, sf).join(T.vendors(spark, sf), "l_suppkey")
     return lines.join(T.read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(
         "vendor",
         F.col("p_type").alias("category"),

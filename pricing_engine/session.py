@@ -85,3 +85,12 @@ def lookup_side(df: DataFrame, source: DataFrame) -> DataFrame:
     """
     small = source.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
     return F.broadcast(df) if small else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle a scan of fewer splits than cores over all cores; leave others alone.
+
+    For small inputs in few files, where the work per row would run in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

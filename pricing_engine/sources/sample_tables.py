@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pricing_engine.operators.history import ARRIVAL, ARRIVAL_TYPE, HISTORY_KEY, keep_last
 from pricing_engine.operators.metrics import batch_metrics, group_metrics
-from pricing_engine.session import lookup_side
+from pricing_engine.session import lookup_side, spread
 
 
 
@@ -23,8 +24,19 @@ def arrival() -> Column:
     return (line * shift + F.col("l_suppkey")).cast(ARRIVAL_TYPE)
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is read from the files once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +78,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str, lines: str | None = None) -> DataFrame:
     """Every line, or those that a condition selects, as an ingested record."""
-    rows = read(spark, sf_dir, "lineitem")
+    rows = lines_of(spark, sf_dir)
     if lines is not None:
         rows = rows.where(lines)
     return (
@@ -102,7 +114,7 @@ def price_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (part, vendor), with the last date seen."""
     return (
-        read(spark, sf_dir, "lineitem")
+        lines_of(spark, sf_dir)
         .join(vendors(spark, sf_dir), "l_suppkey")
         .groupBy("l_partkey", "vendor")
         .agg(F.max(F.col("l_shipdate").cast("date")).alias("last_seen"))
