@@ -16,7 +16,7 @@ from pricing_engine.operators import matching as MT
 from pricing_engine.operators import quality as Q
 from pricing_engine.operators.history import ARRIVAL, product_snapshot
 from pricing_engine.operators.name_pairs import gated_pairs, name_features
-from pricing_engine.session import scratch_path
+from pricing_engine.session import scratch_path, staged
 from pricing_engine.sources import sample_tables as T
 from pricing_engine.sources.category_config import config_summary, config_table, fetch_targets
 from pricing_engine.sources.sinks import TableStore
@@ -168,12 +168,18 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
     return MT.match_candidates(T.products(spark, sf), T.metrics(spark, sf))
 
 
+def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Registry and known membership, written first, as a run finds them."""
+    products = staged(T.products(spark, sf), "products")
+    return products, staged(known_members(spark, sf), "membership")
+
+
 def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
     return MT.candidate_report(MT.ranked_candidates(candidates(spark, sf)))
 
 
 def review_queue(spark: SparkSession, sf: str) -> DataFrame:
-    return MT.review_queue(T.products(spark, sf), known_members(spark, sf), T.metrics(spark, sf))
+    return MT.review_queue(*_stored(spark, sf), T.metrics(spark, sf))
 
 
 def assign_reviewed(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,7 +187,7 @@ def assign_reviewed(spark: SparkSession, sf: str) -> DataFrame:
 
     The reviewer accepts both for parts divisible by ten, none otherwise.
     """
-    products, known = T.products(spark, sf), known_members(spark, sf)
+    products, known = _stored(spark, sf)
     new = G.unmatched_products(products, known)
     part = F.col("product_id").cast("bigint")
     groups = known.select("group_id").distinct()
@@ -195,7 +201,8 @@ def assign_reviewed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def assign_best(spark: SparkSession, sf: str) -> DataFrame:
-    return MT.assign_best(T.products(spark, sf), known_members(spark, sf), T.metrics(spark, sf))
+    metrics = staged(T.metrics(spark, sf), "metrics")
+    return MT.assign_best(*_stored(spark, sf), metrics)
 
 
 # payloads -------------------------------------------------------------------
@@ -304,14 +311,14 @@ def reject_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def first_hits(spark: SparkSession, sf: str) -> DataFrame:
-    good = _read_json(spark, sf)[0]
+    good = staged(_read_json(spark, sf)[0], "records")
     return I.first_search_hits(good, [ONE_VENDOR], ["seq"]).select(
         *I.RECORD, "search_term", F.col("seq").cast("string").alias("seq")
     )
 
 
 def merged_sources(spark: SparkSession, sf: str) -> DataFrame:
-    good = _read_json(spark, sf)[0]
+    good = staged(_read_json(spark, sf)[0], "records")
     return I.merge_sources(good, ["seq"]).select(*I.RECORD, F.col("seq").cast("string").alias("seq"))
 
 

@@ -131,8 +131,17 @@ def _element(tag: str) -> str:
 _GIVEN = """CASE page_id % 3 WHEN 0 THEN url WHEN 1 THEN '/product/p-' || page_id || '/' ELSE ' slug-' || page_id || '/ ' END"""
 _GIVEN_BUY = f"replace({_GIVEN}, 'product', 'buy')"
 
-_SHARED = """
-spelled AS (SELECT p_partkey, string_split(lower(p_brand || ' ' || p_name || ' ' || p_size || ' pack'), ' ') AS words FROM part)"""
+_SPELLINGS = [
+    "p_brand || ' ' || p_name || ' ' || p_size || ' Pack & more (new)'",
+    "p_name || ' of ' || p_brand || ' / ' || p_size || ' pack'",
+    "p_size || '-PACK-' || p_brand || '-' || upper(p_name)",
+]
+_SHARED = f"""
+spelled AS (SELECT p_partkey, {", ".join(
+    f"string_split({_normalised(text)}, ' ') AS words_{i}" for i, text in enumerate(_SPELLINGS)
+)} FROM part),
+shared AS (SELECT p_partkey, list_filter(words_0, lambda w: list_contains(words_1, w)
+             AND list_contains(words_2, w)) AS words FROM spelled)"""
 
 GROUP_NAMES = f"""{NAMES},
 members AS (SELECT concat_ws('/', p_brand, p_type, p_size) AS group_id, p_partkey, product_name,
@@ -154,7 +163,7 @@ landed AS (SELECT *, '{SHOP_URL}' AS base, replace(lower(p_name), ' ', '-') AS s
 ORACLES: dict[str, str] = {
     "sca_1_normalised_names": _with(NAMES, "SELECT product_id, product_name, name FROM names"),
     "sca_3_shared_name": _with(
-        _SHARED, f"SELECT p_partkey, {_title('array_to_string(words, chr(32))')} AS name FROM spelled"
+        _SHARED, f"SELECT p_partkey, {_title('array_to_string(words, chr(32))')} AS name FROM shared"
     ),
     "sca_5_attributes": _with(
         NAMES,

@@ -126,14 +126,19 @@ def _members(spark: SparkSession, sf: str) -> DataFrame:
     return D.dashboard_members(T.membership(spark, sf), snapshot, snapshot)
 
 
+def _dashboard(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Members and groups; the group bounds come from the same snapshot as the members'."""
+    snapshot, membership = H.product_snapshot(T.price_history(spark, sf)), T.membership(spark, sf)
+    members = D.dashboard_members(membership, snapshot, snapshot)
+    return members, D.dashboard_groups(members, M.group_metrics(membership, snapshot))
+
+
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
-    members = _members(spark, sf)
-    return D.dashboard_groups(members, T.group_bounds(spark, sf))
+    return _dashboard(spark, sf)[1]
 
 
 def search(spark: SparkSession, sf: str) -> DataFrame:
-    members = _members(spark, sf)
-    groups = D.dashboard_groups(members, T.group_bounds(spark, sf))
+    members, groups = _dashboard(spark, sf)
     return D.search_groups(groups, members, SEARCH_TEXT, SEARCH_STATUS, SEARCH_VENDOR).select(
         "group_id", "group_name", "category", "best_vendor", "status"
     )

@@ -218,24 +218,33 @@ def merge_sources(records: DataFrame, arrival: list[str]) -> DataFrame:
     earlier direct fetch.
     """
     key = ["category", "vendor", "product_id"]
-    payload = [c for c in records.columns if c not in key]
+    payload = F.struct(*[c for c in records.columns if c not in key])
     order = F.struct(*arrival)
-    found = records.where(F.col("source") == SEARCH).select(*key).distinct()
-    direct = records.where(F.col("source") == SPECIFIC)
-    earliest = direct.groupBy(*key).agg(F.min(order).alias("_first"))
-    raw = ["category", "vendor", "_raw"]
-    marked = (
-        direct.withColumn("_raw", F.col("requested_product_id"))
-        .join(found.withColumnRenamed("product_id", "_raw"), raw, "left_anti")
-        .join(earliest.withColumnRenamed("product_id", "_raw"), raw, "left")
+    is_search = F.col("source") == SEARCH
+    seen = records.groupBy(*key).agg(
+        F.max_by(payload, F.when(is_search, order)).alias("hit"),
+        F.min(F.when(~is_search, order)).alias("first_direct"),
     )
-    kept = marked.where(F.col("_first").isNull() | (order <= F.col("_first"))).select(records.columns)
-    ranked = (
-        records.where(F.col("source") == SEARCH).withColumn("_rank", F.lit(0))
-        .unionByName(kept.withColumn("_rank", F.lit(1)))
+    named = seen.select(
+        "category",
+        "vendor",
+        F.col("product_id").alias("requested_product_id"),
+        F.col("hit").isNotNull().alias("found"),
+        "first_direct",
+    )
+    # a direct fetch whose raw identifier names no product of the run is always kept
+    direct = records.where(F.col("source") == SPECIFIC).join(
+        named, ["category", "vendor", "requested_product_id"], "left"
+    )
+    redundant = F.col("found") | (order > F.col("first_direct"))
+    fetched = (
+        direct.where(~F.coalesce(redundant, F.lit(False)))
+        .groupBy(*key)
+        .agg(F.max_by(payload, order).alias("fetch"))
     )
-    last = F.max_by(F.struct(*payload), F.struct("_rank", *arrival)).alias("last")
-    return ranked.groupBy(*key).agg(last).select(*key, "last.*").select(records.columns)
+    chosen = F.coalesce("fetch", "hit").alias("last")
+    merged = seen.select(*key, "hit").join(fetched, key, "left").select(*key, chosen)
+    return merged.where(F.col("last").isNotNull()).select(*key, "last.*").select(records.columns)
 
 
 def _folded(terms: Column) -> Column:

@@ -26,7 +26,7 @@ from pricing_engine.operators.metrics import (
     group_metrics,
 )
 from pricing_engine.plans.analysis import analyse_groups, category_lists
-from pricing_engine.session import scratch_path
+from pricing_engine.session import staged
 from pricing_engine.sources.category_config import check_categories, config_table, fetch_targets
 from pricing_engine.sources.payloads import successful
 from pricing_engine.sources.sinks import TableStore
@@ -64,15 +64,15 @@ def ingest_payloads(
         "position", "vendor_position", "category", "vendor"
     )
     wanted = successful(payloads).join(targets, ["category", "vendor"], "left_semi")
-    good, bad = ingest.split_rejects(ingest.normalise(wanted, readers, as_of))
+    # payloads are parsed once; what follows reads the parsed columns
+    read = staged(ingest.normalise(wanted, readers, as_of), "parsed")
+    good, bad = ingest.split_rejects(read)
     hits = ingest.first_search_hits(good, list(first_hit_vendors), ["seq"])
     merged = ingest.merge_sources(hits, ["seq"]).join(targets, ["category", "vendor"])
     kept = ingest.filter_terms(merged, rules).select(
         *ingest.RECORD, arrival_number().alias(ARRIVAL)
     )
-    staged = scratch_path(spark, "records")
-    kept.write.parquet(staged)
-    return Ingested(spark.read.parquet(staged), bad)
+    return Ingested(staged(kept, "records"), bad)
 
 
 def store_records(store: TableStore, records: DataFrame) -> None:
