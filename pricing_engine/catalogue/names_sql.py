@@ -68,7 +68,8 @@ payloads AS (
   SELECT vendor, p_type AS category, CAST('{AS_OF}' AS DATE) AS date,
     CASE WHEN l_orderkey % 17 = 0 THEN 'gift' WHEN l_linenumber <= 4 THEN 'search' ELSE 'specific' END AS source,
     'term' || (l_linenumber % 2) AS search_term,
-    CAST(l_orderkey * 8 + l_linenumber AS HUGEINT) * 1000000000000 + l_suppkey AS seq,
+    (CAST(l_orderkey * 8 + l_linenumber AS HUGEINT) * 1000000000000 + l_suppkey) * 100000
+           + datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS seq,
     CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_partkey AS VARCHAR) ELSE '/buy/' || l_partkey END AS raw,
     CASE WHEN l_orderkey % 11 <> 0 THEN CAST(l_partkey AS VARCHAR) END AS id,
     CASE WHEN l_orderkey % 22 <> 0 THEN 'slug-' || l_partkey END AS slug,

@@ -28,7 +28,8 @@ lines AS (
   SELECT CAST(l_shipdate AS DATE) AS date, CAST(l_partkey AS VARCHAR) AS product_id, vendor,
          {NAME} AS product_name, p_type AS category, l_extendedprice AS price,
          CASE WHEN l_partkey % 3 = 0 THEN 'specific' ELSE 'search' END AS source,
-         CAST(l_orderkey * 8 + l_linenumber AS HUGEINT) * 1000000000000 + l_suppkey AS arrival,
+         (CAST(l_orderkey * 8 + l_linenumber AS HUGEINT) * 1000000000000 + l_suppkey) * 100000
+           + datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS arrival,
          l_partkey, l_linenumber, l_shipdate
   FROM lineitem JOIN vendors ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey)"""
 

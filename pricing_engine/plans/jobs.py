@@ -37,7 +37,7 @@ def arrival_number() -> Column:
     """Place in the run: category, then vendor, both in configuration order, then response."""
     target = F.col("position").cast("decimal(10,0)") * F.lit(10**6).cast("decimal(7,0)")
     target = (target + F.col("vendor_position")).cast("decimal(18,0)")
-    return (target * F.lit(10**19).cast("decimal(20,0)") + F.col("seq")).cast(ARRIVAL_TYPE)
+    return (target * F.lit(10**18).cast("decimal(19,0)") + F.col("seq")).cast(ARRIVAL_TYPE)
 
 
 @dataclass

@@ -18,10 +18,14 @@ from pricing_engine.session import lookup_side, spread
 
 
 def arrival() -> Column:
-    """Order key, line number (1 to 7) and supplier key as one ascending number."""
+    """Order key, line number (1 to 7), supplier key and ship day as one ascending number.
+
+    Fewer columns would not tell all lines of a part apart.
+    """
     line = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("decimal(20,0)")
-    shift = F.lit(10**12).cast("decimal(13,0)")
-    return (line * shift + F.col("l_suppkey")).cast(ARRIVAL_TYPE)
+    supplied = line * F.lit(10**12).cast("decimal(13,0)") + F.col("l_suppkey")
+    day = F.unix_date(F.col("l_shipdate").cast("date"))
+    return (supplied.cast("decimal(32,0)") * F.lit(10**5).cast("decimal(6,0)") + day).cast(ARRIVAL_TYPE)
 
 
 _SCHEMAS: dict[str, StructType] = {}
