@@ -26,12 +26,16 @@ def price_gap(left: Column, right: Column) -> Column:
     return F.when((left > 0) & (right > 0), (high - low) / high * 100)
 
 
+def price_points(gap: Column) -> Column:
+    """The price score of a difference in percent; null where there is none."""
+    points = F.when(gap.isNull(), None)
+    for limit, score in PRICE_STEPS:
+        points = points.when(gap <= limit, score)
+    return points.otherwise(FAR_PRICE_SCORE).cast("int")
+
+
 def price_score(left: Column, right: Column) -> Column:
-    gap = price_gap(left, right)
-    score = F.when(gap.isNull(), None)
-    for limit, points in PRICE_STEPS:
-        score = score.when(gap <= limit, points)
-    return score.otherwise(FAR_PRICE_SCORE).cast("int")
+    return price_points(price_gap(left, right))
 
 
 def price_reason(left: Column, right: Column) -> Column:
@@ -88,9 +92,12 @@ def penalty_reasons(left: Column, right: Column) -> Column:
     )
 
 
+def mixed_score(name_score: Column, price: Column) -> Column:
+    return F.coalesce(name_score * NAME_WEIGHT + price * PRICE_WEIGHT, name_score)
+
+
 def final_score(name_score: Column, price: Column) -> Column:
-    mixed = name_score * NAME_WEIGHT + price * PRICE_WEIGHT
-    return exact_round(F.coalesce(mixed, name_score), 2)
+    return exact_round(mixed_score(name_score, price), 2)
 
 
 def name_score_floor(min_score: float) -> float:
