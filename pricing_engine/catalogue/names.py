@@ -271,7 +271,7 @@ def json_payloads(spark: SparkSession, sf: str) -> DataFrame:
             price.alias("price"),
         )
     )
-    null_discount = F.concat(F.substring(body, 1, 1), F.lit('"discount_price":null,'), F.substring(body, 2, 10000))
+    null_discount = F.concat(F.lit('{"discount_price":null,'), F.substr(body, F.lit(2)))
     source = F.when(key % 17 == 0, F.lit("gift")).when(line <= 4, I.SEARCH).otherwise(I.SPECIFIC)
     lines = T.lines_of(spark, sf).join(T.vendors(spark, sf), "l_suppkey")
     return lines.join(T.read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(

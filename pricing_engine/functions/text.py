@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +56,11 @@ def title_case(text: Column) -> Column:
     return F.array_join(F.transform(runs, F.initcap), "")
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def shared_tokens(first: Column, others: Column) -> Column:
     """Tokens of ``first``, in order and with repeats, found in every array of ``others``."""
     return F.filter(first, lambda t: F.forall(others, lambda o: F.array_contains(o, t)))
@@ -61,14 +68,18 @@ def shared_tokens(first: Column, others: Column) -> Column:
 
 def shared_token_name(names: Column) -> Column:
     """Title-cased tokens common to all names; the first name if there are none."""
-    split_names = F.transform(names, lambda n: tokens(normalised_name(n)))
-    common = shared_tokens(F.get(split_names, F.lit(0)), split_names)
     first = F.get(names, F.lit(0))
-    return (
-        F.when(F.size(names) == 0, F.lit(""))
-        .when((F.size(names) == 1) | (F.size(common) == 0), first)
-        .otherwise(title_case(F.array_join(common, " ")))
-    )
+    split_names = F.transform(names, lambda n: tokens(normalised_name(n)))
+    common = _bound(split_names, lambda s: shared_tokens(F.get(s, F.lit(0)), s))
+
+    def name(shared: Column) -> Column:
+        return (
+            F.when(F.size(names) == 0, F.lit(""))
+            .when((F.size(names) == 1) | (F.size(shared) == 0), first)
+            .otherwise(title_case(F.array_join(shared, " ")))
+        )
+
+    return _bound(common, name)
 
 
 def _first_group(text: Column, pattern: str, group: int) -> Column:
