@@ -17,7 +17,6 @@ from pricing_engine import catalogue  # noqa: E402
 from pricing_engine.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "out_1_analysis",
     "src_1_price_history",
     "win_1_latest_price",
     "win_4_dedupe_history",
@@ -27,6 +26,7 @@ HEADLINE = [
     "agg_7_quality_report",
     "win_2_best_offer",
     "top_2_discounted",
+    "out_1_analysis",
     "out_2_groups",
     "flt_8_search",
     "joi_9_unmatched_products",
