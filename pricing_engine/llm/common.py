@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def lower_ascii(text: str) -> str:
 def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of at most ``SLICE_CHARS`` bytes of text, or one row."""
     column = batch.column(batch.schema.get_field_index(text))
-    sizes = np.cumsum([0 if x is None else x for x in pa.compute.binary_length(column).to_pylist()])
+    sizes = np.cumsum([0 if x is None else x for x in pc.binary_length(column).to_pylist()])
     start = 0
     while start < batch.num_rows:
         base = sizes[start - 1] if start else 0

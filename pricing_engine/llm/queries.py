@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from pricing_engine.llm.common import table
 from pricing_engine.llm.line_dedup import drop_frequent_lines, host_of, page_text
 from pricing_engine.llm.mixing import mixed
+from pricing_engine.llm.simhash import near_groups
+from pricing_engine.llm.sketches import compared_with_next
+
+
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprint and the group that near fingerprints link."""
+    found = near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +33,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {q.__name__: q for q in (op7_line_dedup, op8_mix_sources)}
+def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all documents, and their likeness to the edited and to the next text."""
+    return compared_with_next(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op5_simhash_groups, op7_line_dedup, op8_mix_sources, op9_sketches)}
 
 OP7_SQL = r"""
 WITH shown AS (
