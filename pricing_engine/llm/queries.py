@@ -5,11 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricing_engine.llm.common import table
+from pricing_engine.llm import chat, quality
+from pricing_engine.llm.common import fold, table
 from pricing_engine.llm.line_dedup import drop_frequent_lines, host_of, page_text
 from pricing_engine.llm.mixing import mixed
 from pricing_engine.llm.simhash import near_groups
 from pricing_engine.llm.sketches import compared_with_next
+from pricing_engine.session import staged
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labelled ones that are not held out."""
+    held_out = F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False))
+    stats = staged(quality.with_statistics(table(spark, sf_dir, "documents")), "stats")
+    model = quality.learned(stats, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.scored(stats, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def op3_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one full of control strings, read back from their examples."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], turns.schema)
+    return chat.digests(chat.examples(turns.unionByName(extra)))
 
 
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +58,7 @@ def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op5_simhash_groups, op7_line_dedup, op8_mix_sources, op9_sketches)}
+QUERIES = {q.__name__: q for q in (op1_quality, op3_chat_examples, op5_simhash_groups, op7_line_dedup, op8_mix_sources, op9_sketches)}
 
 OP7_SQL = r"""
 WITH shown AS (
