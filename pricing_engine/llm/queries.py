@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricing_engine.llm import chat, quality
+from pricing_engine.llm import chat, decontamination, language, quality
 from pricing_engine.llm.common import fold, table
 from pricing_engine.llm.line_dedup import drop_frequent_lines, host_of, page_text
 from pricing_engine.llm.mixing import mixed
@@ -38,6 +38,16 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("mark"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from labelled ones that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = language.fit(docs.filter(~held_out))
+    return language.identified(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "shares"
+    )
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of all pages without the boilerplate lines of their hosts."""
     pages = table(spark, sf_dir, "pages").select(
@@ -58,7 +68,12 @@ def op9_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared_with_next(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op3_chat_examples, op5_simhash_groups, op7_line_dedup, op8_mix_sources, op9_sketches)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leaks of benchmark items into documents."""
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {q.__name__: q for q in (op1_quality, op3_chat_examples, op5_simhash_groups, op6_language, op7_line_dedup, op8_mix_sources, op9_sketches, op10_decontamination)}
 
 OP7_SQL = r"""
 WITH shown AS (
