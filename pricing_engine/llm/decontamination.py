@@ -20,22 +20,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricing_engine.llm.common import slices
+from pricing_engine.session import staged
 
 K1, B = 1.2, 0.75
 LEAST_SCORE = 0.5
 LEAST_OVERLAP = 0.8
-PASSAGE = 128  # words, or twice the longest item's
-POSTINGS = 64  # in a block
+PASSAGE = 64  # words, or the longest item's
+RANGE = 8  # items of a block; items are ordered by length, so that a block's weights are alike
 INDEX_ITEMS = 20_000  # items of an index that a task holds; more make more indexes
-_TERM = re.compile(r"[^\W_]+")
+_DROPPED = re.compile(r"[\W_]+")
+_MEMO = 500_000  # words whose terms a task remembers
+
+
+def term(word: str) -> str:
+    """A word in lower case, without characters other than letters and digits."""
+    return _DROPPED.sub("", word.lower())
 
 
 def terms(text: str | None) -> list[str]:
-    return _TERM.findall(text.lower()) if text else []
+    """Terms of a text's words between white space; words without any are left out."""
+    return [t for t in map(term, text.split()) if t] if text else []
 
 
 def parts(text: str) -> tuple[list[str], list[str]]:
-    """Words of the question and of the answer: cut after the first ``?``, else in the middle."""
+    """Terms of the question and of the answer: cut after the first ``?``, else in the middle."""
     head, mark, tail = text.partition("?")
     question, answer = terms(head), terms(tail)
     if mark and question and answer:
@@ -44,107 +52,112 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return words[: (len(words) + 1) // 2], words[(len(words) + 1) // 2 :]
 
 
+class Terms(dict):
+    """Numbers of words' terms; -1: not in the index, -2: no term.  Forgets when large."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        self.vocabulary = vocabulary
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _MEMO:
+            self.clear()
+        own = term(word)
+        found = self[word] = self.vocabulary.get(own, -1) if own else -2
+        return found
+
+
 @dataclass(frozen=True)
 class Index:
+    """Postings of each term lie between two ``starts``, as do its blocks between two ``block_starts``."""
+
     items: list[tuple[int, str]]
     vocabulary: dict[str, int]
-    postings: list[tuple[np.ndarray, np.ndarray]]  # of each term: items ascending, weights
-    blocks: list[tuple[list[int], list[float]]]  # of each term: last item, largest weight
-    highest: np.ndarray  # of each term
+    starts: np.ndarray
+    places: np.ndarray  # of items, ascending within a term
+    weights: np.ndarray
+    block_starts: np.ndarray
+    blocks: np.ndarray  # place // RANGE, ascending within a term
+    maxima: np.ndarray  # of the weights in a block
+    highest: np.ndarray  # of the weights of a term
     passage: int
 
 
 def build(items: list[tuple[int, str]], number: int, mean: float, frequency: dict[str, int], passage: int) -> Index:
     """An index of ``items`` with the statistics of all items; items without words are never found."""
+    items = sorted(items, key=lambda x: (len(terms(x[1])), x[1], x[0]))
     vocabulary: dict[str, int] = {}
     lists: list[list[tuple[int, float]]] = []
     for place, (_, text) in enumerate(items):
         words = terms(text)
         weights = {}
-        for term, n in Counter(words).items():
-            rare = np.log1p((number - frequency[term] + 0.5) / (frequency[term] + 0.5))
-            weights[term] = rare * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean))
+        for t, n in Counter(words).items():
+            rare = np.log1p((number - frequency[t] + 0.5) / (frequency[t] + 0.5))
+            weights[t] = rare * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words) / mean))
         own = sum(weights.values())
-        for term, weight in weights.items():
-            if term not in vocabulary:
-                vocabulary[term] = len(lists)
+        for t, weight in weights.items():
+            if t not in vocabulary:
+                vocabulary[t] = len(lists)
                 lists.append([])
-            lists[vocabulary[term]].append((place, weight / own))
-    postings = [(np.array([p for p, _ in x]), np.array([w for _, w in x])) for x in lists]
-    blocks = [
-        (
-            [int(p[min(i + POSTINGS, len(p)) - 1]) for i in range(0, len(p), POSTINGS)],
-            [float(w[i : i + POSTINGS].max()) for i in range(0, len(p), POSTINGS)],
-        )
-        for p, w in postings
-    ]
-    highest = np.array([w.max() for _, w in postings])
-    return Index(items, vocabulary, postings, blocks, highest, passage)
-
-
-def retrieve(index: Index, found: list[int], least: float) -> list[tuple[int, float]]:
-    """(item, score) of all items that score ``least`` or more for the distinct terms ``found``.
-
-    Block-max WAND: lists stand at their next item, in order of it; the pivot is the
-    first item that the highest weights up to its list could lift to ``least``.  It is
-    scored only if the weights of the blocks it lies in could, too; if not, the lists
-    skip to where the first of those blocks ends.
+            lists[vocabulary[t]].append((place, weight / own))
+    places = np.array([p for x in lists for p, _ in x], np.int64)
+    weights = np.array([w for x in lists for _, w in x])
+    starts = np.cumsum([0, *map(len, lists)])
+    owner = np.repeat(np.arange(len(lists)), np.diff(starts))
+    first = np.ones(len(places), bool)
+    first[1:] = (owner[1:] != owner[:-1]) | (places[1:] // RANGE != places[:-1] // RANGE)
+    cuts = np.flatnonzero(first)
+    maxima = np.maximum.reduceat(weights, cuts) if len(cuts) else np.empty(0)
+    highest = np.maximum.reduceat(weights, starts[:-1]) if len(lists) else np.empty(0)
+    block_starts = np.searchsorted(owner[cuts], np.arange(len(lists) + 1))
+    return Index(items, vocabulary, starts, places, weights, block_starts, places[cuts] // RANGE, maxima, highest, passage)
+
+
+def _spans(starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all entries of ``keys``, index of the key of each)."""
+    sizes = starts[keys + 1] - starts[keys]
+    owner = np.repeat(np.arange(len(keys)), sizes)
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[keys][owner], owner
+
+
+def retrieve(index: Index, passages: np.ndarray, found: np.ndarray, least: float) -> list[tuple[int, int, float]]:
+    """(passage, place of item, score) of all scores of ``least`` or more.
+
+    ``passages`` and ``found`` are the distinct terms of each passage.  Block-max
+    WAND, on all passages of a text at once: a passage's terms are put in order of
+    their highest weights, and those that cannot reach ``least`` together open no
+    list.  Blocks of the others' lists are scored only where the blocks' largest
+    weights, and those terms' highest ones, add up to ``least``.
     """
     least -= 1e-9
-    lists = [[0, *(x.tolist() for x in index.postings[t]), *index.blocks[t], float(index.highest[t])] for t in found]
+    order = np.lexsort((index.highest[found], passages))
+    passages, found = passages[order], found[order]
+    tops = index.highest[found]
+    sums = np.cumsum(tops)
+    first = np.concatenate(([True], passages[1:] != passages[:-1]))
+    base = (sums - tops)[first]
+    nth = np.cumsum(first) - 1
+    upto = sums - base[nth]
+    opened = upto >= least
+    closed = np.zeros(nth[-1] + 1)
+    np.maximum.at(closed, nth[~opened], upto[~opened])
+    keys, own = found[opened], nth[opened]
+    entries, owner = _spans(index.block_starts, keys)
+    number = -(-len(index.items) // RANGE)
+    cells, which = np.unique(own[owner] * number + index.blocks[entries], return_inverse=True)
+    bound = np.bincount(which, index.maxima[entries], len(cells)) + closed[cells // number]
     out = []
-    while lists:
-        lists.sort(key=lambda x: x[1][x[0]])
-        bound, at = 0.0, None
-        for k, x in enumerate(lists):
-            bound += x[5]
-            if bound >= least:
-                at = k
-                break
-        if at is None:
-            return out
-        pivot = lists[at][1][lists[at][0]]
-        while at + 1 < len(lists) and lists[at + 1][1][lists[at + 1][0]] == pivot:
-            at += 1
-        bound, ends = 0.0, []
-        for x in lists[: at + 1]:
-            b = x[0] // POSTINGS
-            while b < len(x[3]) and x[3][b] < pivot:
-                b += 1
-            if b < len(x[3]):
-                bound += x[4][b]
-                ends.append(x[3][b])
-        if bound >= least:
-            score = 0.0
-            for x in lists[: at + 1]:
-                x[0] = _seek(x, pivot)
-                if x[0] < len(x[1]) and x[1][x[0]] == pivot:
-                    score += x[2][x[0]]
-                    x[0] += 1
-            if score >= least:
-                out.append((pivot, score))
-        else:
-            after = min(ends, default=pivot) + 1
-            if at + 1 < len(lists):
-                after = min(after, lists[at + 1][1][lists[at + 1][0]])
-            after = max(after, pivot + 1) if at + 1 == len(lists) or after > pivot else pivot + 1
-            for x in lists[: at + 1]:
-                x[0] = _seek(x, after)
-        lists = [x for x in lists if x[0] < len(x[1])]
+    ends = np.append(np.flatnonzero(first)[1:], len(found))
+    for cell in cells[bound >= least].tolist():
+        k, block = divmod(cell, number)
+        mine = found[ends[k - 1] if k else 0 : ends[k]]
+        entries, _ = _spans(index.starts, mine)
+        entries = entries[index.places[entries] // RANGE == block]
+        scores = np.bincount(index.places[entries] - block * RANGE, index.weights[entries], RANGE)
+        for i in np.flatnonzero(scores >= least).tolist():
+            out.append((int(passages[ends[k] - 1]), block * RANGE + i, float(scores[i])))
     return out
 
 
-def _seek(x: list, item: int) -> int:
-    """Place of the first posting at or after ``item``, by blocks first."""
-    place, block = x[0], x[0] // POSTINGS
-    while block < len(x[3]) and x[3][block] < item:
-        block += 1
-        place = block * POSTINGS
-    while place < len(x[1]) and x[1][place] < item:
-        place += 1
-    return place
-
-
 def overlap(part: list[str], words: list[str]) -> float:
     """Share of the part's words that ``words`` has in order, in runs of two or more; 1 for no words."""
     if not part:
@@ -153,65 +166,67 @@ def overlap(part: list[str], words: list[str]) -> float:
     return sum(r.size for r in runs if r.size > 1 or len(part) == 1) / len(part)
 
 
-def hits(index: Index, text: str | None, least: float, least_overlap: float) -> Iterator[tuple]:
+def hits(index: Index, known: Terms, text: str | None, least: float, least_overlap: float) -> list[tuple]:
     """(item_id, from word, to word, score, question overlap, answer overlap) of a whole text.
 
-    Passages overlap by half.  Those whose words' highest weights, each distinct word
-    once, cannot reach ``least`` are left out before any list is opened.
+    Words are counted without those that have no term.  Passages overlap by half, so
+    three quarters or more of an item that stands in the text stand in a passage; the
+    overlap is taken in the passage and half a one on either side.
     """
-    words = terms(text)
-    if not words or not index.items:
-        return
-    get = index.vocabulary.get
-    ids = np.array([get(w, -1) for w in words])
+    words = text.split() if text else []
+    ids = np.array([known[w] for w in words], np.int64)
+    if not (ids >= 0).any():
+        return []
+    if (blank := ids == -2).any():
+        words, ids = [w for w, b in zip(words, blank) if not b], ids[~blank]
     step = index.passage // 2
-    passages = max(1, -(-(len(words) - step) // step))
-    known = np.flatnonzero(ids >= 0)
-    order = known[np.argsort(ids[known], kind="stable")]
-    before = np.full(len(words), -1)
-    same = ids[order][1:] == ids[order][:-1]
-    before[order[1:][same]] = order[:-1][same]
-    bound = np.zeros(passages + 1)
-    for shift in (0, 1):
-        j = known // step - shift
-        new = (j >= 0) & (j < passages) & (before[known] < j * step)
-        bound += np.bincount(j[new], index.highest[ids[known[new]]], passages + 1)
+    number = max(1, -(-(len(ids) - step) // step))
+    at = np.flatnonzero(ids >= 0)
+    both = np.concatenate((at // step, at // step - 1))
+    there = (both >= 0) & (both < number)
+    size = len(index.highest)
+    pairs = np.unique(both[there] * size + np.concatenate((ids[at], ids[at]))[there])
     best: dict[int, tuple] = {}
-    for j in np.flatnonzero(bound >= least - 1e-9).tolist():
-        a, b = j * step, min(len(words), (j + 2) * step)
-        found = np.unique(ids[a:b])
-        for item, score in retrieve(index, found[found >= 0].tolist(), least):
-            item_id, item_text = index.items[item]
-            wide = words[max(0, a - step) : b + step]
+    if len(pairs):
+        for j, place, score in retrieve(index, pairs // size, pairs % size, least):
+            if place in best and score <= best[place][3]:
+                continue
+            a, b = j * step, min(len(words), (j + 2) * step)
+            wide = [term(w) for w in words[max(0, a - step) : b + step]]
+            item_id, item_text = index.items[place]
             question, answer = (overlap(p, wide) for p in parts(item_text))
-            row = (item_id, a, b, score, question, answer)
-            if min(question, answer) >= least_overlap and (item not in best or score > best[item][3]):
-                best[item] = row
-    yield from (best[k] for k in sorted(best))
+            if min(question, answer) >= least_overlap:
+                best[place] = (item_id, a, b, score, question, answer)
+    return [best[k] for k in sorted(best)]
+
+
+_WORDS = "item_id long, text string, words array<string>"
 
 
 def indexes(items: DataFrame, most: int = INDEX_ITEMS) -> Iterator[Index]:
-    """Indexes of all ``items`` (item_id, text), ``most`` items each, with common statistics.
+    """Indexes of all ``items`` (item_id, text), about ``most`` items each, with common statistics.
 
     Words and lengths are counted over all items; one block of items is fetched at a time.
     """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = pa.array([terms(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, words], names=["item_id", "text", "words"])
+
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("words", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    rows = staged(rows.mapInArrow(split, _WORDS), "items")
     total, length, longest = rows.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
     if not total:
         return
-    passage = max(PASSAGE, 2 * (longest or 0))
+    passage = max(PASSAGE, longest + longest % 2)
     blocks = -(-total // most)
+    counted = rows.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").count()
     for block in range(blocks):
         own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        held = [(r.item_id, r.text) for r in own.select("item_id", "text").orderBy("item_id", "text").collect()]
-        wanted = {t for _, text in held for t in terms(text)}
-        counted = rows.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").count()
-        if blocks > 1:
-            mine = own.select(F.explode(F.array_distinct("words")).alias("t")).distinct()
-            counted = counted.join(mine, "t")
-        frequency = {r[0]: r[1] for r in counted.collect()}
-        frequency = {t: frequency.get(t, 1) for t in wanted}
+        mine = own.select(F.explode("words").alias("t")).distinct()
+        frequency = {r[0]: r[1] for r in counted.join(mine, "t").collect()}
+        held = [(r.item_id, r.text) for r in own.select("item_id", "text").collect()]
         yield build(held, total, max(1.0, float(length)), frequency, passage)
 
 
@@ -236,12 +251,13 @@ def contaminated(
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            known = Terms(held.value.vocabulary)
             for whole in batches:
                 for batch in slices(whole):
                     out = [
                         (doc_id, *row)
                         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                        for row in hits(held.value, text, least, least_overlap)
+                        for row in hits(held.value, known, text, least, least_overlap)
                     ]
                     if out:
                         yield _batch(out)
@@ -260,11 +276,9 @@ def clean(
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            known = Terms(held.value.vocabulary)
             for batch in batches:
-                kept = [
-                    next(hits(held.value, text, least, least_overlap), None) is None
-                    for text in batch.column(at).to_pylist()
-                ]
+                kept = [not hits(held.value, known, t, least, least_overlap) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(kept, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
