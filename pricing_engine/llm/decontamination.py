@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,19 +28,15 @@ LEAST_SCORE = 0.5
 LEAST_OVERLAP = 0.8
 PASSAGE = 64  # words, or the longest item's
 RANGE = 8  # items of a block; items are ordered by length, so that a block's weights are alike
+CLOSED = 0.4  # of the least score: what the unopened lists may reach
+CHUNK = 512  # passages scored at a time
 INDEX_ITEMS = 20_000  # items of an index that a task holds; more make more indexes
-_DROPPED = re.compile(r"[\W_]+")
-_MEMO = 500_000  # words whose terms a task remembers
-
-
-def term(word: str) -> str:
-    """A word in lower case, without characters other than letters and digits."""
-    return _DROPPED.sub("", word.lower())
+_DROPPED = re.compile(r"[^\w\s]+|_+")
 
 
 def terms(text: str | None) -> list[str]:
-    """Terms of a text's words between white space; words without any are left out."""
-    return [t for t in map(term, text.split()) if t] if text else []
+    """Words between white space in lower case, without characters other than letters and digits."""
+    return _DROPPED.sub("", text.lower()).split() if text else []
 
 
 def parts(text: str) -> tuple[list[str], list[str]]:
@@ -52,20 +49,6 @@ def parts(text: str) -> tuple[list[str], list[str]]:
     return words[: (len(words) + 1) // 2], words[(len(words) + 1) // 2 :]
 
 
-class Terms(dict):
-    """Numbers of words' terms; -1: not in the index, -2: no term.  Forgets when large."""
-
-    def __init__(self, vocabulary: dict[str, int]) -> None:
-        self.vocabulary = vocabulary
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        own = term(word)
-        found = self[word] = self.vocabulary.get(own, -1) if own else -2
-        return found
-
-
 @dataclass(frozen=True)
 class Index:
     """Postings of each term lie between two ``starts``, as do its blocks between two ``block_starts``."""
@@ -77,8 +60,11 @@ class Index:
     weights: np.ndarray
     block_starts: np.ndarray
     blocks: np.ndarray  # place // RANGE, ascending within a term
+    block_keys: np.ndarray  # term * blocks of the index + block, ascending
     maxima: np.ndarray  # of the weights in a block
     highest: np.ndarray  # of the weights of a term
+    rank: np.ndarray  # of a term by its highest weight
+    by_rank: np.ndarray
     passage: int
 
 
@@ -109,44 +95,58 @@ def build(items: list[tuple[int, str]], number: int, mean: float, frequency: dic
     maxima = np.maximum.reduceat(weights, cuts) if len(cuts) else np.empty(0)
     highest = np.maximum.reduceat(weights, starts[:-1]) if len(lists) else np.empty(0)
     block_starts = np.searchsorted(owner[cuts], np.arange(len(lists) + 1))
-    return Index(items, vocabulary, starts, places, weights, block_starts, places[cuts] // RANGE, maxima, highest, passage)
+    blocks = places[cuts] // RANGE
+    by_rank = np.argsort(highest, kind="stable")
+    rank = np.empty_like(by_rank)
+    rank[by_rank] = np.arange(len(by_rank))
+    keys = owner[cuts] * -(-len(items) // RANGE) + blocks
+    return Index(items, vocabulary, starts, places, weights, block_starts, blocks, keys, maxima, highest, rank, by_rank, passage)
 
 
 def _spans(starts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places of all entries of ``keys``, index of the key of each)."""
-    sizes = starts[keys + 1] - starts[keys]
-    owner = np.repeat(np.arange(len(keys)), sizes)
-    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[keys][owner], owner
+    return _ranges(starts[keys], starts[keys + 1] - starts[keys])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(all places of the ranges one after the other, index of the range of each)."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) + (starts - np.cumsum(sizes) + sizes)[owner], owner
 
 
 def retrieve(index: Index, passages: np.ndarray, found: np.ndarray, least: float) -> list[tuple[int, int, float]]:
     """(passage, place of item, score) of all scores of ``least`` or more.
 
-    ``passages`` and ``found`` are the distinct terms of each passage.  Block-max
-    WAND, on all passages of a text at once: a passage's terms are put in order of
-    their highest weights, and those that cannot reach ``least`` together open no
-    list.  Blocks of the others' lists are scored only where the blocks' largest
-    weights, and those terms' highest ones, add up to ``least``.
+    ``found`` are the distinct terms of each of ``passages``, by rising highest weight.
+    Block-max WAND, on many passages of a text at once: of a passage's terms, those of
+    low weight that cannot reach a part of ``least`` together open no list.  Blocks of
+    the others' lists stay where their largest weights, and those terms' highest ones,
+    add up to ``least``, and are scored where the largest weights of all terms in that
+    very block still do.
     """
     least -= 1e-9
-    order = np.lexsort((index.highest[found], passages))
-    passages, found = passages[order], found[order]
     tops = index.highest[found]
     sums = np.cumsum(tops)
     first = np.concatenate(([True], passages[1:] != passages[:-1]))
-    base = (sums - tops)[first]
     nth = np.cumsum(first) - 1
-    upto = sums - base[nth]
-    opened = upto >= least
+    upto = sums - (sums - tops)[first][nth]
+    opened = upto >= least * CLOSED
     closed = np.zeros(nth[-1] + 1)
     np.maximum.at(closed, nth[~opened], upto[~opened])
-    keys, own = found[opened], nth[opened]
-    entries, owner = _spans(index.block_starts, keys)
+    entries, owner = _spans(index.block_starts, found[opened])
     number = -(-len(index.items) // RANGE)
-    cells, which = np.unique(own[owner] * number + index.blocks[entries], return_inverse=True)
-    bound = np.bincount(which, index.maxima[entries], len(cells)) + closed[cells // number]
+    bound = np.bincount(nth[opened][owner] * number + index.blocks[entries], index.maxima[entries], len(closed) * number)
+    cells = np.flatnonzero(bound >= least - np.repeat(closed, number))
+    bound = bound[cells]
+    if not len(cells):
+        return []
     out = []
+    # the same with the block's weights for the unopened terms, for the cells left
     ends = np.append(np.flatnonzero(first)[1:], len(found))
+    rest, owner = _ranges(np.concatenate(([0], ends[:-1]))[cells // number], np.bincount(nth[~opened], minlength=len(ends))[cells // number])
+    wanted = found[rest] * number + cells[owner] % number
+    keys = np.minimum(np.searchsorted(index.block_keys, wanted), len(index.block_keys) - 1)
+    bound += np.bincount(owner, np.where(index.block_keys[keys] == wanted, index.maxima[keys], 0.0), len(cells))
     for cell in cells[bound >= least].tolist():
         k, block = divmod(cell, number)
         mine = found[ends[k - 1] if k else 0 : ends[k]]
@@ -166,33 +166,34 @@ def overlap(part: list[str], words: list[str]) -> float:
     return sum(r.size for r in runs if r.size > 1 or len(part) == 1) / len(part)
 
 
-def hits(index: Index, known: Terms, text: str | None, least: float, least_overlap: float) -> list[tuple]:
+def hits(index: Index, text: str | None, least: float, least_overlap: float) -> list[tuple]:
     """(item_id, from word, to word, score, question overlap, answer overlap) of a whole text.
 
-    Words are counted without those that have no term.  Passages overlap by half, so
-    three quarters or more of an item that stands in the text stand in a passage; the
-    overlap is taken in the passage and half a one on either side.
+    Passages overlap by half, so three quarters or more of an item that stands in the
+    text stand in a passage; the overlap is taken there and half a passage around.
     """
-    words = text.split() if text else []
-    ids = np.array([known[w] for w in words], np.int64)
+    words = terms(text)
+    ids = np.fromiter(map(index.vocabulary.get, words, repeat(-1)), np.int64, len(words))
     if not (ids >= 0).any():
         return []
-    if (blank := ids == -2).any():
-        words, ids = [w for w, b in zip(words, blank) if not b], ids[~blank]
     step = index.passage // 2
     number = max(1, -(-(len(ids) - step) // step))
     at = np.flatnonzero(ids >= 0)
     both = np.concatenate((at // step, at // step - 1))
     there = (both >= 0) & (both < number)
     size = len(index.highest)
-    pairs = np.unique(both[there] * size + np.concatenate((ids[at], ids[at]))[there])
+    # terms by rank of their highest weight, so that one sort orders them within passages
+    pairs = np.unique(both[there] * size + np.concatenate((index.rank[ids[at]],) * 2)[there])
     best: dict[int, tuple] = {}
-    if len(pairs):
-        for j, place, score in retrieve(index, pairs // size, pairs % size, least):
+    cuts = np.searchsorted(pairs, np.arange(0, number + CHUNK, CHUNK) * size)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if a == b:
+            continue
+        for j, place, score in retrieve(index, pairs[a:b] // size, index.by_rank[pairs[a:b] % size], least):
             if place in best and score <= best[place][3]:
                 continue
             a, b = j * step, min(len(words), (j + 2) * step)
-            wide = [term(w) for w in words[max(0, a - step) : b + step]]
+            wide = words[max(0, a - step) : b + step]
             item_id, item_text = index.items[place]
             question, answer = (overlap(p, wide) for p in parts(item_text))
             if min(question, answer) >= least_overlap:
@@ -251,13 +252,12 @@ def contaminated(
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            known = Terms(held.value.vocabulary)
             for whole in batches:
                 for batch in slices(whole):
                     out = [
                         (doc_id, *row)
                         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-                        for row in hits(held.value, known, text, least, least_overlap)
+                        for row in hits(held.value, text, least, least_overlap)
                     ]
                     if out:
                         yield _batch(out)
@@ -276,9 +276,8 @@ def clean(
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            known = Terms(held.value.vocabulary)
             for batch in batches:
-                kept = [not hits(held.value, known, t, least, least_overlap) for t in batch.column(at).to_pylist()]
+                kept = [not hits(held.value, t, least, least_overlap) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(kept, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
