@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricing_engine.llm import chat, decontamination, language, quality
+from pricing_engine.llm import chat, decontamination, language, licenses, quality
 from pricing_engine.llm.common import fold, table
 from pricing_engine.llm.line_dedup import drop_frequent_lines, host_of, page_text
 from pricing_engine.llm.mixing import mixed
@@ -24,6 +24,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All license notices of all documents."""
+    return licenses.found_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of all conversations, and of one full of control strings, read back from their examples."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -73,7 +78,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op3_chat_examples, op5_simhash_groups, op6_language, op7_line_dedup, op8_mix_sources, op9_sketches, op10_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_chat_examples, op5_simhash_groups, op6_language, op7_line_dedup, op8_mix_sources, op9_sketches, op10_decontamination)}
 
 OP7_SQL = r"""
 WITH shown AS (
