@@ -9,6 +9,7 @@ from pricing_engine.llm import chat, decontamination, language, licenses, qualit
 from pricing_engine.llm.common import fold, table
 from pricing_engine.llm.line_dedup import drop_frequent_lines, host_of, page_text
 from pricing_engine.llm.mixing import mixed
+from pricing_engine.llm.passages import repeated_passages
 from pricing_engine.llm.simhash import near_groups
 from pricing_engine.llm.sketches import compared_with_next
 from pricing_engine.session import staged
@@ -37,6 +38,11 @@ def op3_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.examples(turns.unionByName(extra)))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of all documents that are near duplicates of others."""
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their fingerprint and the group that near fingerprints link."""
     found = near_groups(table(spark, sf_dir, "documents"))
@@ -78,7 +84,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_chat_examples, op5_simhash_groups, op6_language, op7_line_dedup, op8_mix_sources, op9_sketches, op10_decontamination)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_chat_examples, op4_passages, op5_simhash_groups, op6_language, op7_line_dedup, op8_mix_sources, op9_sketches, op10_decontamination)}
 
 OP7_SQL = r"""
 WITH shown AS (
