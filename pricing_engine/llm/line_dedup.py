@@ -36,9 +36,14 @@ def _line_key(line: Column) -> Column:
 
 
 def drop_frequent_lines(
-    pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame,
+    host: str,
+    text: str,
+    max_ratio: float = MAX_RATIO,
+    min_pages: int = MIN_PAGES,
+    counted_lines: bool = True,
 ) -> DataFrame:
-    """``pages`` with ``text`` rid of boilerplate, and n_lines, n_dropped (long).
+    """``pages`` with ``text`` rid of boilerplate and, if ``counted_lines``, n_lines and n_dropped (long).
 
     A line (compared without blanks at its ends) is boilerplate of its host if it
     stands on at least ``min_pages`` of the host's pages and on more than
@@ -51,7 +56,7 @@ def drop_frequent_lines(
     summed before it is sent.  The rows are staged once; only keys of lines are
     shuffled twice, and texts once, to the pages that lose lines.
     """
-    key = fresh_name(pages, "row_key")
+    key, page, gone, kept_lines = (fresh_name(pages, n) for n in ("row_key", "page_key", "gone", "kept_lines"))
     rows = with_row_key(pages, key)
     lines = F.filter(F.transform(F.split(F.col(text), "\n"), _line_key), lambda k: k.isNotNull())
     exploded = rows.select(
@@ -71,18 +76,16 @@ def drop_frequent_lines(
         & exploded["host"].eqNullSafe(frequent["of"]),
     )
     # at most 1 / max_ratio lines of a host for each line of its mean page
-    hits = hits.groupBy("page").agg(F.collect_set("line").alias("gone"))
-    joined = rows.join(hits, rows[key] == hits["page"], "left").drop("page")
+    hits = hits.groupBy(F.col("page").alias(page)).agg(F.collect_set("line").alias(gone))
+    joined = rows.join(hits, F.col(key) == F.col(page), "left")
     split = F.split(F.col(text), "\n")
     kept = F.when(
-        F.col("gone").isNull(), split
-    ).otherwise(F.filter(split, lambda s: ~F.coalesce(F.array_contains(F.col("gone"), _line_key(s)), F.lit(False))))
-    counted = joined.withColumns({"n_lines": F.coalesce(F.size(split), F.lit(0)).cast("long"), "gone_lines": kept})
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.col("n_lines")).cast("long")
-    n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size("gone_lines")).cast("long")
-    out = [c for c in pages.columns if c.lower() not in ("n_lines", "n_dropped", text.lower())]
-    return counted.select(
-        *[F.when(F.col(c).isNull(), None).otherwise(F.array_join("gone_lines", "\n")).alias(c) if c == text else F.col(c) for c in pages.columns if c == text or c in out],
-        n_lines.alias("n_lines"),
-        (n_lines - n_kept).alias("n_dropped"),
-    )
+        F.col(gone).isNull(), split
+    ).otherwise(F.filter(split, lambda s: ~F.coalesce(F.array_contains(F.col(gone), _line_key(s)), F.lit(False))))
+    counted = joined.withColumn(kept_lines, kept)
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long")
+    n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size(kept_lines)).cast("long")
+    shown = F.when(F.col(text).isNotNull(), F.array_join(kept_lines, "\n")).alias(text)
+    counts = [n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped")] if counted_lines else []
+    taken = ("n_lines", "n_dropped") if counted_lines else ()
+    return counted.select(*[shown if c == text else F.col(c) for c in pages.columns if c.lower() not in taken], *counts)
