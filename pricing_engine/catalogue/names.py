@@ -15,10 +15,11 @@ from pricing_engine.operators import ingest as I
 from pricing_engine.operators import matching as MT
 from pricing_engine.operators import quality as Q
 from pricing_engine.operators.history import ARRIVAL, product_snapshot
-from pricing_engine.operators.name_pairs import gated_pairs, name_features
+from pricing_engine.operators.name_pairs import gated_pairs, name_features, scored_pairs
 from pricing_engine.session import scratch_path, staged
 from pricing_engine.sources import sample_tables as T
 from pricing_engine.sources.category_config import config_summary, config_table, fetch_targets
+from pricing_engine.sources.payloads import successful
 from pricing_engine.sources.sinks import TableStore
 from pricing_engine.streaming.incremental import maintain_metrics
 
@@ -174,6 +175,24 @@ def _stored(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return products, staged(known_members(spark, sf), "membership")
 
 
+def scored_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs of names with their ratios, as far as they can reach the threshold."""
+    return scored_pairs(_all_names(spark, sf), S.DEFAULT_MIN_SCORE).drop("penalty_reasons")
+
+
+def candidate_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates with a row for every pair of products."""
+    products, metrics = staged(T.products(spark, sf), "products"), staged(T.metrics(spark, sf), "metrics")
+    return MT.expand_copies(MT.match_candidates(products, metrics), products, metrics)
+
+
+def new_review_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The proposals of a first run, when no product has a group."""
+    products = staged(T.products(spark, sf), "products")
+    nobody = T.membership(spark, sf).limit(0)
+    return MT.new_review_queue(products, nobody, staged(T.metrics(spark, sf), "metrics"))
+
+
 def candidate_rows(spark: SparkSession, sf: str) -> DataFrame:
     return MT.candidate_report(MT.ranked_candidates(candidates(spark, sf)))
 
@@ -318,26 +337,32 @@ def first_hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged_sources(spark: SparkSession, sf: str) -> DataFrame:
-    good = staged(_read_json(spark, sf)[0], "records")
+    """A fifth of the direct fetches that name a product are answered with the one before it."""
+    good = _read_json(spark, sf)[0]
+    part = F.col("product_id").try_cast("bigint")
+    moved = (F.col("source") == I.SPECIFIC) & F.col("requested_product_id").isNotNull() & (part % 5 == 0)
+    asked = F.when(F.coalesce(moved, F.lit(False)), (part + 1).cast("string")).otherwise(F.col("requested_product_id"))
+    good = staged(good.withColumn("requested_product_id", asked), "records")
     return I.merge_sources(good, ["seq"]).select(*I.RECORD, F.col("seq").cast("string").alias("seq"))
 
 
 def _page_payloads(spark: SparkSession, sf: str, body: Column, path: str) -> DataFrame:
-    """Every part as a landed page; a ninth of the requests failed."""
+    """Every part as a landed page; a ninth of the requests failed, which their status tells."""
     key = F.col("p_partkey")
     url = F.concat(F.lit(f"{SHOP_URL}{path}"), F.when(key % 8 != 0, key.cast("string")).otherwise(F.lit("")), F.lit("/"), F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))))
-    return T.read(spark, sf, "part").where(key % 9 != 0).select(
+    landed = T.read(spark, sf, "part").select(
         F.lit("shop").alias("vendor"),
         F.col("p_type").alias("category"),
         F.lit(I.SPECIFIC).alias("source"),
         F.lit(None).cast("string").alias("search_term"),
         key.alias("seq"),
-        F.lit(200).alias("status_code"),
+        F.when(key % 9 != 0, 200).otherwise(404).alias("status_code"),
         url.alias("request_url"),
         url.alias("final_url"),
         F.concat(F.lit(path), key.cast("string"), F.lit("/x")).alias("requested_product_id"),
         body.alias("body"),
     )
+    return successful(landed)
 
 
 def heading_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -422,9 +447,12 @@ QUERIES: dict[str, Query] = {
     "sca_16_dates": dated_texts,
     "mat_5_group_names": group_names,
     "joi_7_gated_name_pairs": name_pairs,
+    "joi_7_scored_names": scored_names,
     "mat_1_candidates": candidates,
+    "mat_1_candidate_products": candidate_products,
     "out_6_candidate_rows": candidate_rows,
     "mat_2_review_queue": review_queue,
+    "mat_2_new_products": new_review_queue,
     "mat_3_assign": assign_reviewed,
     "mat_4_auto_assign": assign_best,
     "nrm_1_json_records": json_records,

@@ -14,6 +14,10 @@ def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
 
+def _recursive(ctes: str, select: str) -> str:
+    return f"WITH RECURSIVE {ctes}\n{select}"
+
+
 def _normalised(name: str) -> str:
     spelled = f"replace(lower({name}), '&', ' and ')"
     return f"trim(regexp_replace(translate({spelled}, '-/,()', '     '), '\\s+', ' ', 'g'))"
@@ -273,14 +277,22 @@ SELECT page_id, {_nodes(_silenced("html", "script", "style", "template", "noscri
         JSON_ROWS,
         "SELECT vendor, reason, count(*) AS n_rows FROM judged WHERE reason IS NOT NULL GROUP BY ALL",
     ),
-    "nrm_22_merge_sources": _with(
+    "nrm_22_merge_sources": _recursive(
         JSON_ROWS,
-        f""", found AS (SELECT DISTINCT category, vendor, product_id AS raw FROM good WHERE source = 'search'),
-        earliest AS (SELECT category, vendor, product_id AS raw, min(seq) AS first_seq FROM good
-                     WHERE source = 'specific' GROUP BY ALL),
-        kept AS (SELECT g.* FROM good g ANTI JOIN found USING (category, vendor, raw) WHERE g.source = 'specific'),
-        used AS (SELECT k.* FROM kept k LEFT JOIN earliest USING (category, vendor, raw)
-                 WHERE first_seq IS NULL OR k.seq <= first_seq),
+        f""", asked AS (SELECT * REPLACE (CASE WHEN source = 'specific' AND raw IS NOT NULL
+                          AND TRY_CAST(product_id AS BIGINT) % 5 = 0
+                          THEN CAST(TRY_CAST(product_id AS BIGINT) + 1 AS VARCHAR) ELSE raw END AS raw) FROM good),
+        found AS (SELECT DISTINCT category, vendor, product_id AS raw FROM good WHERE source = 'search'),
+        direct AS (SELECT d.*, row_number() OVER (PARTITION BY category, vendor ORDER BY d.seq) AS place
+                   FROM asked d ANTI JOIN found USING (category, vendor, raw) WHERE d.source = 'specific'),
+        walk AS (SELECT DISTINCT category, vendor, CAST(0 AS BIGINT) AS place, CAST([] AS VARCHAR[]) AS given FROM direct
+                 UNION ALL
+                 SELECT d.category, d.vendor, d.place, CASE WHEN list_contains(w.given, d.raw) THEN w.given
+                          ELSE list_append(w.given, d.product_id) END
+                 FROM walk w JOIN direct d ON d.category = w.category AND d.vendor = w.vendor AND d.place = w.place + 1),
+        used AS (SELECT d.* EXCLUDE (place) FROM direct d JOIN walk w ON d.category = w.category
+                   AND d.vendor = w.vendor AND d.place = w.place + 1
+                 WHERE d.raw IS NULL OR NOT list_contains(w.given, d.raw)),
         ranked AS (SELECT 0 AS step, * FROM good WHERE source = 'search' UNION ALL BY NAME SELECT 1 AS step, * FROM used)
         SELECT {_RECORD}, {_SEQ} FROM ranked
         QUALIFY row_number() OVER (PARTITION BY category, vendor, product_id ORDER BY step DESC, ranked.seq DESC) = 1""",

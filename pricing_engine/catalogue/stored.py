@@ -14,6 +14,7 @@ from pricing_engine.operators import metrics as M
 from pricing_engine.operators import quality as Q
 from pricing_engine.plans import analysis as A
 from pricing_engine.plans import dashboard as D
+from pricing_engine.session import staged
 from pricing_engine.sources import sample_tables as T
 from pricing_engine.sources.tables import conform, valid_prices
 
@@ -75,8 +76,7 @@ def quality_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def next_group_id(spark: SparkSession, sf: str) -> DataFrame:
-    highest = F.coalesce(F.max("group_id"), F.lit(0)) + 1
-    return T.membership(spark, sf).agg(highest.alias("next_group_id"))
+    return T.membership(spark, sf).agg(G.highest_and_one().alias("next_group_id"))
 
 
 def _priced(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,20 +126,22 @@ def _members(spark: SparkSession, sf: str) -> DataFrame:
     return D.dashboard_members(T.membership(spark, sf), snapshot, snapshot)
 
 
-def _dashboard(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Members and groups; the group bounds come from the same snapshot as the members'."""
-    snapshot, membership = H.product_snapshot(T.price_history(spark, sf)), T.membership(spark, sf)
-    members = D.dashboard_members(membership, snapshot, snapshot)
-    return members, D.dashboard_groups(members, M.group_metrics(membership, snapshot))
+def _known(spark: SparkSession, sf: str) -> DataFrame:
+    return D.snapshot_members(T.membership(spark, sf), H.product_snapshot(T.price_history(spark, sf)))
 
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
-    return _dashboard(spark, sf)[1]
+    return D.snapshot_groups(_known(spark, sf))
+
+
+def groups_from_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The same groups from separate tables of latest prices and bounds."""
+    return D.dashboard_groups(_members(spark, sf), T.group_bounds(spark, sf))
 
 
 def search(spark: SparkSession, sf: str) -> DataFrame:
-    members, groups = _dashboard(spark, sf)
-    return D.search_groups(groups, members, SEARCH_TEXT, SEARCH_STATUS, SEARCH_VENDOR).select(
+    members = staged(_known(spark, sf), "members")
+    return D.search_groups(D.snapshot_groups(members), members, SEARCH_TEXT, SEARCH_STATUS, SEARCH_VENDOR).select(
         "group_id", "group_name", "category", "best_vendor", "status"
     )
 
@@ -168,9 +170,11 @@ def known_members(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def products_with_max(spark: SparkSession, sf: str) -> DataFrame:
+    """Every product with its highest price of all times; a seventh of them has no metrics yet."""
     from pricing_engine.operators.matching import with_max_price
 
-    return with_max_price(T.products(spark, sf), _before(spark, sf)).select(
+    known = T.metrics(spark, sf).where(F.pmod(F.col("product_id").cast("bigint"), F.lit(7)) != 0)
+    return with_max_price(T.products(spark, sf), known).select(
         "product_id", "vendor", "product_name", "max_price"
     )
 
@@ -208,6 +212,7 @@ QUERIES: dict[str, Query] = {
     "out_1_analysis_from_tables": analysis_from_tables,
     "out_1_category_summary": category_summary,
     "out_2_groups": _groups,
+    "out_2_groups_from_tables": groups_from_tables,
     "out_2_members": _members,
     "out_3_category": lambda s, d: D.category_page(_groups(s, d), ONE_CATEGORY),
     "out_4_history_texts": lambda s, d: D.history_texts(

@@ -227,6 +227,7 @@ ORACLES: dict[str, str] = {
            FROM lists GROUP BY category""",
     ),
     "out_2_groups": _with(DASHBOARD, "SELECT * FROM groups"),
+    "out_2_groups_from_tables": _with(DASHBOARD, "SELECT * FROM groups"),
     "out_2_members": _with(DASHBOARD, "SELECT * FROM members"),
     "out_3_category": _with(DASHBOARD, f"SELECT * FROM groups WHERE category = '{ONE_CATEGORY}'"),
     "out_4_history_texts": _with(
@@ -262,7 +263,9 @@ ORACLES: dict[str, str] = {
             WHERE group_id % 5 = 0 AND vendor = '{ONE_VENDOR}'""",
     ),
     "joi_5_products_with_max": _with(
-        f"{SPLIT}, {LISTINGS}",
-        "SELECT product_id, vendor, product_name, max_price FROM listings LEFT JOIN old USING (product_id, vendor)",
+        f"{HISTORY}, {LISTINGS}",
+        """SELECT product_id, vendor, product_name, max_price FROM listings LEFT JOIN (
+             SELECT product_id, vendor, max(price) AS max_price FROM history
+             WHERE CAST(product_id AS BIGINT) % 7 <> 0 GROUP BY ALL) USING (product_id, vendor)""",
     ),
 }

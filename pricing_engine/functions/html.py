@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,10 +13,15 @@ from pricing_engine.functions.text import strip_spaces
 # Markup that holds no text, and the shape of a tag
 COMMENTS = r"(?s)<!--.*?-->|<![^>]*>|<\?[^>]*>"
 SILENT_BLOCKS = ["script", "style", "template"]
-TAG = r"""(?s)</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*>"""
+# possessive: the matcher steps over a tag of any length without recursion or backtracking
+TAG = r"""(?s)</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 
 _BREAK = "\u0001"
-_ENTITIES = json.dumps({name: chr(point) for name, point in name2codepoint.items()} | {"apos": "'"})
+# the usual names first, since a map literal is searched in order
+_USUAL = ["amp", "nbsp", "quot", "lt", "gt", "apos", "dollar", "period", "comma", "ndash", "mdash", "rsquo", "euro"]
+_ENTITIES = json.dumps(
+    {f"{name};": html5[f"{name};"] for name in _USUAL} | {name: html5[name] for name in _USUAL if name in html5} | html5
+)
 
 
 def _code_point(number: Column) -> Column:
@@ -25,21 +30,26 @@ def _code_point(number: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Named (HTML 4) and numeric references, resolved once."""
+    """Named (HTML 5) and numeric references, resolved once.
+
+    Some old names need no semicolon; others stay text without it.
+    """
     known = F.from_json(F.lit(_ENTITIES), "map<string,string>")
 
     def resolve(piece: Column, i: Column) -> Column:
-        name = F.regexp_extract(piece, r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?", 1)
-        rest = F.regexp_replace(piece, r"^#?[A-Za-z0-9]+;?", "")
+        name = F.regexp_extract(piece, r"^(#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]*+);?", 1)
+        rest = F.regexp_replace(piece, r"^(?:#[xX][0-9a-fA-F]++|#[0-9]++|[A-Za-z0-9]++);?", "")
+        digits = F.regexp_replace(name, "^#[xX]?0*+", "")
+        # longer ones than these are no code points
         number = (
-            F.when(name.rlike("^#[0-9]+$"), F.substring(name, 2, 7).try_cast("bigint"))
-            .when(
-                name.rlike("^#[xX]"),
-                F.conv(F.regexp_replace(name, "^#[xX]", ""), 16, 10).try_cast("bigint"),
-            )
+            F.when(name.rlike("^#[0-9]+$") & (F.length(digits) <= 7), digits.try_cast("bigint"))
+            .when(name.rlike("^#[xX]") & (F.length(digits) <= 6), F.conv(digits, 16, 10).try_cast("bigint"))
         )
         valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-        char = F.coalesce(F.when(valid, _code_point(number)), F.try_element_at(known, name))
+        ended = F.when(F.startswith(F.substr(piece, F.length(name) + 1), F.lit(";")), F.concat(name, F.lit(";")))
+        char = F.coalesce(
+            F.when(valid, _code_point(number)), F.try_element_at(known, ended), F.try_element_at(known, name)
+        )
         return (
             F.when(i == 0, piece)
             .when(char.isNotNull(), F.concat(char, rest))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pricing_engine.functions import html as H
 from pricing_engine.functions import payload_fields as P
 from pricing_engine.functions.text import folded_term, iso_date, safe_number, strip_spaces
-from pricing_engine.session import computed_once
+from pricing_engine.session import computed_once, staged
 
 # Fixed values
 SEARCH, SPECIFIC = "search", "specific"
@@ -170,8 +170,11 @@ def read_html_slug(payloads: DataFrame) -> DataFrame:
 
 
 def normalise(payloads: DataFrame, readers: Mapping[str, Reader], as_of: str) -> DataFrame:
-    """Records of all vendors, each vendor's payloads read by its reader."""
-    read = [reader(payloads.where(F.col("vendor") == vendor)) for vendor, reader in readers.items()]
+    """Records of all vendors; the payloads of vendors with one reader are read in one scan."""
+    vendors: dict[Reader, list[str]] = {}
+    for vendor, reader in readers.items():
+        vendors.setdefault(reader, []).append(vendor)
+    read = [reader(payloads.where(F.col("vendor").isin(names))) for reader, names in vendors.items()]
     rows = reduce(DataFrame.unionByName, read)
     return rows.withColumn("date", iso_date(F.lit(as_of)))
 
@@ -210,41 +213,54 @@ def first_search_hits(records: DataFrame, vendors: list[str], arrival: list[str]
     return records.where(~F.coalesce(repeats, F.lit(False))).unionByName(once)
 
 
+def _needed_fetches(direct: DataFrame, arrival: list[str]) -> DataFrame:
+    """Direct fetches whose raw identifier no earlier needed fetch of the run has given.
+
+    A fetch is needed or not once that is settled for the earlier ones that gave its
+    identifier.  Each round settles the first open fetch of every chain of such
+    dependences; nearly all pages answer with the identifier asked for, which takes
+    one round or two.
+    """
+    order = F.struct(*arrival)
+    scope = ["category", "vendor"]
+    rows = staged(direct.withColumns({"_order": order, "_needed": F.lit(None).cast("boolean")}), "fetches")
+    while True:
+        given = rows.groupBy(*scope, F.col("product_id").alias("requested_product_id")).agg(
+            F.min(F.when(F.col("_needed"), F.col("_order"))).alias("_given"),
+            F.min(F.when(F.col("_needed").isNull(), F.col("_order"))).alias("_open"),
+        )
+        late = F.coalesce(F.col("_order") > F.col("_given"), F.lit(False))
+        waits = F.coalesce(F.col("_order") > F.col("_open"), F.lit(False))
+        settled = F.when(late, False).when(~waits, True)
+        joined = rows.join(given, [*scope, "requested_product_id"], "left")
+        rows = staged(
+            joined.withColumn("_needed", F.coalesce("_needed", settled)).select(rows.columns), "fetches"
+        )
+        if rows.where(F.col("_needed").isNull()).isEmpty():
+            return rows.where("_needed").drop("_order", "_needed")
+
+
 def merge_sources(records: DataFrame, arrival: list[str]) -> DataFrame:
     """One record per category, vendor and product out of search hits and direct fetches.
 
-    The last search hit wins among search hits.  A direct fetch overrides it,
-    unless its raw identifier already names a product found by search or by an
-    earlier direct fetch.
+    The last search hit wins among search hits.  A direct fetch overrides it, the last
+    one among them, unless its raw identifier names a product found by search or given
+    by an earlier direct fetch that was itself needed.
     """
     key = ["category", "vendor", "product_id"]
     payload = F.struct(*[c for c in records.columns if c not in key])
     order = F.struct(*arrival)
-    is_search = F.col("source") == SEARCH
-    seen = records.groupBy(*key).agg(
-        F.max_by(payload, F.when(is_search, order)).alias("hit"),
-        F.min(F.when(~is_search, order)).alias("first_direct"),
-    )
-    named = seen.select(
-        "category",
-        "vendor",
-        F.col("product_id").alias("requested_product_id"),
-        F.col("hit").isNotNull().alias("found"),
-        "first_direct",
-    )
-    # a direct fetch whose raw identifier names no product of the run is always kept
+    hits = records.where(F.col("source") == SEARCH).groupBy(*key).agg(F.max_by(payload, order).alias("hit"))
+    found = hits.select("category", "vendor", F.col("product_id").alias("requested_product_id"))
+    # a fetch without a raw identifier is always needed
     direct = records.where(F.col("source") == SPECIFIC).join(
-        named, ["category", "vendor", "requested_product_id"], "left"
-    )
-    redundant = F.col("found") | (order > F.col("first_direct"))
-    fetched = (
-        direct.where(~F.coalesce(redundant, F.lit(False)))
-        .groupBy(*key)
-        .agg(F.max_by(payload, order).alias("fetch"))
+        found, ["category", "vendor", "requested_product_id"], "left_anti"
     )
+    needed = _needed_fetches(direct.select(records.columns), arrival)
+    fetched = needed.groupBy(*key).agg(F.max_by(payload, order).alias("fetch"))
     chosen = F.coalesce("fetch", "hit").alias("last")
-    merged = seen.select(*key, "hit").join(fetched, key, "left").select(*key, chosen)
-    return merged.where(F.col("last").isNotNull()).select(*key, "last.*").select(records.columns)
+    merged = hits.join(fetched, key, "full_outer").select(*key, chosen)
+    return merged.select(*key, "last.*").select(records.columns)
 
 
 def _folded(terms: Column) -> Column:

@@ -46,18 +46,47 @@ def ordered_members(members: DataFrame) -> DataFrame:
     return members.orderBy(*member_order())
 
 
-def dashboard_groups(members: DataFrame, grouped_metrics: DataFrame) -> DataFrame:
-    """One row per group that has a priced member."""
+def snapshot_members(membership: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """Every member with its group's name and category and all that the snapshot knows of it.
+
+    One join, where latest prices and bounds come from the same snapshot.
+    """
+    known = ["current_price", "last_seen_date", "max_price", "min_price", "last_updated"]
+    rows = membership.select("group_id", "group_name", "category", *PRODUCT_KEY, "product_name")
+    return rows.join(snapshot.select(*PRODUCT_KEY, *known), PRODUCT_KEY, "left")
+
+
+def _offers() -> list[Column]:
     cheapest = F.when(
         F.col("current_price").isNotNull(), F.struct("current_price", "vendor", "product_id")
     )
-    offers = members.groupBy("group_id").agg(
+    return [
         F.count("*").alias("n_members"),
         F.min_by(F.struct("vendor", "current_price"), cheapest).alias("best"),
+    ]
+
+
+def snapshot_groups(members: DataFrame) -> DataFrame:
+    """One row per group that has a priced member, from one aggregate of its members."""
+    return _shown_groups(
+        members.groupBy("group_id", "group_name", "category").agg(
+            *_offers(),
+            F.max("max_price").alias("max_price"),
+            F.min("min_price").alias("min_price"),
+            F.max("last_updated").alias("last_updated"),
+        )
     )
+
+
+def dashboard_groups(members: DataFrame, grouped_metrics: DataFrame) -> DataFrame:
+    """One row per group that has a priced member, with bounds from a table of their own."""
+    return _shown_groups(grouped_metrics.join(members.groupBy("group_id").agg(*_offers()), "group_id"))
+
+
+def _shown_groups(groups: DataFrame) -> DataFrame:
     current, low, high = F.col("current_price"), F.col("group_min_price"), F.col("group_max_price")
     return (
-        grouped_metrics.join(offers.where(F.col("best").isNotNull()), "group_id")
+        groups.where(F.col("best").isNotNull())
         .select(
             "group_id",
             "group_name",

@@ -18,7 +18,7 @@ from pricing_engine.operators.history import (
     product_rows,
     upsert_registry,
 )
-from pricing_engine.operators.matching import assign_best, assign_reviewed, review_queue
+from pricing_engine.operators.matching import assign_best, assign_reviewed, new_review_queue, review_queue
 from pricing_engine.operators.metrics import (
     check_groups,
     fold_latest_batch,
@@ -85,12 +85,15 @@ def store_records(store: TableStore, records: DataFrame) -> None:
 
 
 def match_products(
-    store: TableStore, decisions: DataFrame | None = None, min_score: float = DEFAULT_MIN_SCORE
+    store: TableStore,
+    decisions: DataFrame | None = None,
+    min_score: float = DEFAULT_MIN_SCORE,
+    new_decisions: DataFrame | None = None,
 ) -> bool:
     """Put unmatched products into groups; false if there are none.
 
-    With ``decisions`` a product joins the best group accepted for it; without, the
-    best-scoring group.
+    With ``decisions`` a product joins the best group accepted for it, and with
+    ``new_decisions`` the group of an accepted leader; without, the best-scoring group.
     """
     products, membership = store.read("products"), store.read("product_match")
     if not has_unmatched_products(products, membership):
@@ -100,7 +103,8 @@ def match_products(
         matched = assign_best(products, membership, metrics, min_score)
     else:
         queue = review_queue(products, membership, metrics, min_score)
-        matched = assign_reviewed(products, membership, queue, decisions)
+        new_queue = None if new_decisions is None else new_review_queue(products, membership, metrics, min_score)
+        matched = assign_reviewed(products, membership, queue, decisions, new_queue, new_decisions)
     store.replace("product_match", matched)
     return True
 
@@ -115,7 +119,7 @@ def update_metrics(store: TableStore, records: DataFrame | None = None) -> None:
     metrics = store.replace("product_metrics", folded)
     if store.exists("product_match"):
         grouped = group_metrics(store.read("product_match"), metrics)
-        check_groups(store.replace("grouped_product_metrics", grouped))
+        store.replace("grouped_product_metrics", check_groups(staged(grouped, "group-bounds")))
 
 
 def analyse(store: TableStore) -> DataFrame:
@@ -135,6 +139,7 @@ def daily_run(
     as_of: str,
     decisions: DataFrame | None = None,
     min_score: float = DEFAULT_MIN_SCORE,
+    new_decisions: DataFrame | None = None,
     **limits: Any,
 ) -> DataFrame:
     """Ingest, store, match if anything is new, update the metrics, analyse.
@@ -148,7 +153,7 @@ def daily_run(
         if not ingested.records.isEmpty():
             records = ingested.records
             store_records(store, records)
-    match_products(store, decisions, min_score)
+    match_products(store, decisions, min_score, new_decisions)
     update_metrics(store, records)
     return analyse(store)
 

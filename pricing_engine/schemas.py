@@ -51,6 +51,10 @@ PAYLOADS = _struct(
     body=_S,
 )
 DECISIONS = _struct(product_id=_S, vendor=_S, group_id=_L, accept=T.BooleanType())
+# on groups that products of the same run open
+NEW_DECISIONS = _struct(
+    product_id=_S, vendor=_S, leader_product_id=_S, leader_vendor=_S, accept=T.BooleanType()
+)
 
 TABLES = {
     "price_history": PRICE_HISTORY,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,7 +34,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="pricing-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -71,26 +72,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-# rows of a lookup table that may be sent to every executor: some tens of MB
-LOOKUP_ROWS = 500_000
-
-
-def lookup_side(df: DataFrame, source: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its ``source`` is counted to be small.
-
-    For lookups built by joins, whose size Spark overestimates.  ``df`` must have at
-    most one row per row of ``source``.  Beyond the bound it is joined by shuffle.
-    """
-    small = source.limit(LOOKUP_ROWS + 1).count() <= LOOKUP_ROWS
-    return F.broadcast(df) if small else df
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Shuffle a scan of fewer splits than cores over all cores; leave others alone.
-
-    For small inputs in few files, where the work per row would run in one task.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

@@ -2,7 +2,7 @@
 
 A shipped line is an observed price: the part is the product, the supplier's
 region the vendor, the part's type the category.  Spark broadcasts a side when its
-size allows it.  Only the supplier lookup, built by two joins, is counted first.
+size allows it.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 
 from pricing_engine.operators.history import ARRIVAL, ARRIVAL_TYPE, HISTORY_KEY, keep_last
 from pricing_engine.operators.metrics import batch_metrics, group_metrics
-from pricing_engine.session import lookup_side, spread
 
 
 
@@ -40,18 +39,17 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    return read(spark, sf_dir, "lineitem")
 
 
 def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier key to vendor."""
     suppliers = read(spark, sf_dir, "supplier")
-    regions = (
+    return (
         suppliers.join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
         .join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select(F.col("s_suppkey").alias("l_suppkey"), F.col("r_name").alias("vendor"))
     )
-    return lookup_side(regions, suppliers)
 
 
 def product_name() -> Column:

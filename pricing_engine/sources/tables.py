@@ -36,14 +36,16 @@ def scan_table(
     table: str,
     fmt: str = "parquet",
     missing_ok: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read a table; an absent path gives an empty one if ``missing_ok``.
 
-    Only absence is tolerated: a file that cannot be read stays an error.
+    Only absence is tolerated: a file that cannot be read stays an error.  CSV files
+    are split among tasks unless ``multi_line`` says that values hold line ends.
     """
     try:
         if fmt == "csv":
-            raw = spark.read.option("header", True).option("multiLine", True).csv(path)
+            raw = spark.read.option("header", True).option("multiLine", multi_line).csv(path)
         else:
             raw = spark.read.format(fmt).load(path)
     except AnalysisException as error:

@@ -4,7 +4,8 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from brute_force import partial, token_set, token_sort
+from brute_force import lcs, partial, token_set, token_sort
+from pair_scores import name_scores
 from pyspark.sql import functions as F
 
 from pricing_engine.functions import html, ratios, scoring, text
@@ -168,3 +169,52 @@ def test_html_text(value):
     assert value(html.page_name(L("<title>A | S</title><h1> <b>x</b> y </h1>"), " | S")) == "x y"
     assert value(html.page_name(L("<title>A | S</title><h1> </h1>"), " | S")) == "A"
     assert value(html.page_name(L("<p>x</p>"))) == ""
+
+
+# worked out by hand from the definitions: (left, right, name score)
+NAME_SCORES = [
+    ("Kleenex Facial Tissues 95 Pack", "Kleenex Facial Tissues 70 Pack", 74.04),
+    ("Oral-B Pro 1000 Brush", "Oral-B Pro Brush", 92.49),
+    ("Carman's Granola Fruit & Nut 400g", "Carman's Granola Fruit Free 500g", 60.45),
+    ("abc def", "abc xyz", 60.91),
+    ("Oral-B Pro 1000 Brush", "Oral-B Pro 2000 Brush", 0.0),
+    ("Coles Toilet Paper 3 Ply 12 pack", "Quilton Toilet Paper 3 Ply 12 pack", 0.0),
+]
+
+
+def test_name_scores(spark):
+    scores = name_scores(spark, [n for left, right, _ in NAME_SCORES for n in (left, right)])
+    assert [scores[left, right] for left, right, _ in NAME_SCORES] == [s for _, _, s in NAME_SCORES]
+    for (left, right), score in scores.items():
+        assert scores[right, left] == score and 0 <= score <= 100
+        assert score == 100 or left != right
+
+
+def test_rounding_of_small_values(spark):
+    values = [0.005, 0.015, 0.025, 0.035, 0.045, 0.055, 0.0049999, 1e-9, 0.0, 0.0625, 2.675, 1.005, 0.05, 0.15, 0.25, 98.695]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(
+        "v", exact_round(F.col("v"), 2).alias("two"), exact_round(F.col("v"), 1).alias("one")
+    )
+    assert [(r.two, r.one) for r in rows.collect()] == [(round(v, 2), round(v, 1)) for v in values]
+
+
+def test_ratios_of_long_names():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcd ", k=n)) for n in (0, 1, 63, 64, 65, 80, 128, 129, 200, 300)]
+    pairs = [(a, b) for a in texts for b in texts]
+    left, right = [a for a, _ in pairs], [b for _, b in pairs]
+    assert ratios.lcs_lengths(left, right).tolist() == [lcs(a, b) for a, b in pairs]
+    short = [(a, b) for a, b in pairs if len(a) <= 130 and len(b) <= 130]
+    got = ratios.partial_ratios([a for a, _ in short], [b for _, b in short])
+    assert got.tolist() == pytest.approx([partial(a, b) for a, b in short])
+
+
+def test_pages_that_would_overflow_a_matcher(value):
+    huge = "<p>a</p><div " + "x" * 1_000_000 + ">b</div>"
+    assert value(html.visible_text(F.lit(huge))) == "a\nb"
+    assert value(html.visible_text(F.lit("<p>a</p><i title='open " + "y " * 50_000))).startswith("a")
+
+
+def test_references(value):
+    text = "&dollar;5&period;20 &amp; &#36;&#x24;&#0000000036; &eacute &notin; &unknown; &#1114112; &copy2"
+    assert value(html.unescape(F.lit(text))) == "$5.20 & $$$ é ∉ &unknown; &#1114112; &copy2"
