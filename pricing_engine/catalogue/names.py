@@ -431,7 +431,7 @@ def streamed_metrics(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("event").alias("category"),
         F.col("value").alias("price"),
     )
-    store = TableStore(spark, scratch_path(spark, "stream-store"))
+    store = TableStore(spark, scratch_path(spark, "stream-store"), buckets=8)
     maintain_metrics(prices, store, scratch_path(spark, "stream-checkpoint")).awaitTermination()
     return store.read("product_metrics")
 

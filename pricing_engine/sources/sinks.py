@@ -2,8 +2,10 @@
 
 Each write goes to a new version folder and becomes current by one row appended
 to a manifest, so a failed job leaves the current version untouched and no job
-overwrites what it reads.  The price history is the exception: it is partitioned
-by date and only the dates of a batch are replaced.
+overwrites what it reads.  Two tables are exceptions: the price history is
+partitioned by date and only the dates of a batch are replaced, and the metrics of a
+store with buckets are partitioned by a hash of the product and only the buckets of
+a batch are.
 """
 
 from __future__ import annotations
@@ -12,12 +14,14 @@ import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pricing_engine.operators.history import ARRIVAL, upsert_history
+from pricing_engine.operators.history import ARRIVAL, PRODUCT_KEY, upsert_history
+from pricing_engine.operators.metrics import fold_metrics
 from pricing_engine.schemas import PRICE_HISTORY, SORT_ORDER, TABLES, empty_table
-from pricing_engine.session import scratch_path
+from pricing_engine.session import scratch_path, staged
 from pricing_engine.sources.tables import conform
 
 _MANIFEST = "table string, version bigint, folder string"
@@ -25,10 +29,15 @@ _MANIFEST = "table string, version bigint, folder string"
 
 @dataclass
 class TableStore:
-    """The five tables of the engine below one root folder."""
+    """The five tables of the engine below one root folder.
+
+    With ``buckets`` the product metrics are kept in that many partitions, so that a
+    small batch costs the buckets it touches and not the whole table.
+    """
 
     spark: SparkSession
     root: str
+    buckets: int = 0
 
     def _manifest_path(self) -> str:
         return f"{self.root}/_manifest"
@@ -68,11 +77,44 @@ class TableStore:
         current = self._current_folder(table)
         version = (current[0] if current else 0) + 1
         folder = f"{self.root}/{table}/v{version:06d}-{uuid.uuid4().hex[:8]}"
-        ordered = conform(rows, table).orderBy(*SORT_ORDER[table])
-        ordered.write.parquet(folder)
+        checked = conform(rows, table)
+        if table == "product_metrics" and self.buckets:
+            self._write_buckets(checked, folder)
+        else:
+            checked.orderBy(*SORT_ORDER[table]).write.parquet(folder)
         self._publish(table, version, folder)
         return self.read(table)
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*PRODUCT_KEY), F.lit(self.buckets)).cast("int").alias("bucket")
+
+    def _write_buckets(self, rows: DataFrame, folder: str) -> None:
+        """Write some buckets, each in the table's order; others stay as they are."""
+        dealt = rows.select("*", self._bucket()).repartition("bucket")
+        (
+            dealt.sortWithinPartitions("bucket", *SORT_ORDER["product_metrics"])
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket")
+            .parquet(folder)
+        )
+
+    def fold_metrics(self, prices: DataFrame) -> DataFrame:
+        """Fold a batch of prices into the metrics; of a store with buckets, only those it touches.
+
+        The fold is staged first and idempotent: if the swap of buckets is interrupted,
+        the same batch can be run again.
+        """
+        current = self._current_folder("product_metrics")
+        if not self.buckets or current is None:
+            return self.replace("product_metrics", fold_metrics(self.read("product_metrics"), prices))
+        touched = prices.select(self._bucket()).distinct()
+        schema = TABLES["product_metrics"]
+        stored = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
+        known = stored.parquet(current[1]).join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")
+        self._write_buckets(staged(fold_metrics(known, prices), "metrics-stage"), current[1])
+        return self.read("product_metrics")
+
     def create_missing(self) -> None:
         """Publish empty tables for those that do not exist yet."""
         for table, schema in TABLES.items():
@@ -92,9 +134,9 @@ class TableStore:
         _, folder = self._current_folder("price_history")
         touched = new.select("date").distinct()
         stored = self.read("price_history").join(touched, "date", "left_semi")
-        staged = scratch_path(self.spark, "history-stage")
-        upsert_history(stored, new, arrival).write.parquet(staged)
-        merged = self.spark.read.schema(PRICE_HISTORY).parquet(staged)
+        stage = scratch_path(self.spark, "history-stage")
+        upsert_history(stored, new, arrival).write.parquet(stage)
+        merged = self.spark.read.schema(PRICE_HISTORY).parquet(stage)
         # a range sort splits a date that holds much of the batch over several files
         (
             merged.orderBy(*SORT_ORDER["price_history"])

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from pricing_engine.operators.metrics import fold_metrics
 from pricing_engine.sources.sinks import TableStore
 
 
@@ -20,8 +19,7 @@ def fold_batch(store: TableStore) -> Callable[[DataFrame, int], None]:
 
     def fold(batch: DataFrame, _batch_id: int) -> None:
         # the batch belongs to the query's own session
-        own = TableStore(batch.sparkSession, store.root)
-        own.replace("product_metrics", fold_metrics(own.read("product_metrics"), batch))
+        TableStore(batch.sparkSession, store.root, store.buckets).fold_metrics(batch)
 
     return fold
 

@@ -1,3 +1,4 @@
+import datetime
 import json
 
 import pytest
@@ -198,3 +199,16 @@ def test_filters_read_computed_columns_once(spark):
     good, _ = I.split_rejects(I.normalise(frame, READERS, "2026-04-27"))
     plan = good.select(F.col("price"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json") + plan.count("JsonToStructs") <= 4
+
+
+def test_a_fetch_dropped_as_redundant_gives_nothing(spark):
+    """Search finds X; a fetch asked for X answers Y and is dropped; a fetch asked for Y is needed."""
+    def record(seq, product, source, asked):
+        return (datetime.date(2026, 4, 26), product, "v", "n", "c", 1.0 + seq, source, asked, seq)
+
+    schema = "date date, product_id string, vendor string, product_name string, category string, price double, source string, requested_product_id string, seq int"
+    rows = [record(1, "X", "search", None), record(2, "Y", "specific", "X"), record(3, "Y", "specific", "Y")]
+    # a chain: C is given by the fetch of B, which is given by the fetch of A
+    rows += [record(4, "B", "specific", "A"), record(5, "C", "specific", "B"), record(6, "D", "specific", "C"), record(7, "E", "specific", None)]
+    got = I.merge_sources(spark.createDataFrame(rows, schema), ["seq"]).collect()
+    assert {(r.product_id, r.seq) for r in got} == {("X", 1), ("Y", 3), ("B", 4), ("D", 6), ("E", 7)}

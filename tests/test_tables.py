@@ -153,3 +153,30 @@ def test_history_merge_replaces_touched_dates_only(spark, tmp_path):
     for _ in range(2):
         merged = store.merge_history(new)
         assert _rows(merged) == [(DAY[0], "p", "v", "c", 1.0), (DAY[1], "p", "v", "c", 3.0), (DAY[2], "q", "v", "c", 4.0)]
+
+
+def test_buckets_that_a_batch_does_not_touch_stay(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"), buckets=8)
+    first = _history(spark, *[(0, str(i), "v", "c", float(i)) for i in range(40)])
+    assert store.fold_metrics(first).count() == 40
+    files = lambda: {f for f in (tmp_path / "store").rglob("bucket=*/*.parquet")}
+    before = files()
+    batch = _history(spark, (1, "3", "v", "c", 99.0), (1, "new", "v", "c", 1.0))
+    for _ in range(2):
+        got = {r.product_id: (r.max_price, r.min_price) for r in store.fold_metrics(batch).collect()}
+        assert len(got) == 41 and got["3"] == (99.0, 3.0) and got["new"] == (1.0, 1.0) and got["4"] == (4.0, 4.0)
+    untouched = before & files()
+    assert len({f.parent for f in before - untouched}) <= 2 and len({f.parent for f in untouched}) >= 5
+
+
+def test_a_lost_folder_is_an_error(spark, tmp_path):
+    import shutil
+
+    from pyspark.errors import AnalysisException
+
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.replace("products", empty_table(spark, PRODUCTS))
+    assert store.read("products").isEmpty()
+    shutil.rmtree(tmp_path / "store" / "products")
+    with pytest.raises(AnalysisException):
+        store.read("products").collect()
