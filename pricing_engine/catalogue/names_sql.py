@@ -10,6 +10,13 @@ from pricing_engine.catalogue.stored import ONE_VENDOR
 from pricing_engine.catalogue.stored_sql import LINES, LISTINGS, NAME, SNAPSHOT
 
 
+# The unit words and attribute patterns of the names
+_UNITS = "('g','kg','ml','l','m','ply','pack','pk','pcs','pieces')"
+_PLY = "nullif(regexp_extract(name, '\\b(\\d+)\\s*ply\\b', 1), '')"
+_PACK = "nullif(regexp_extract(name, '\\b(\\d+)\\s*(pack|pk|pcs|pieces)\\b', 1), '')"
+_SIZE = "\\b(\\d+(?:\\.\\d+)?)\\s*(g|kg|ml|l|m)\\b"
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
@@ -31,10 +38,9 @@ def _title(text: str) -> str:
 
 def _numbers(name: str) -> str:
     parts = f"string_split({name}, ' ')"
-    units = "('g','kg','ml','l','m','ply','pack','pk','pcs','pieces')"
     bare = (
         f"list_filter({parts}, lambda t, i: regexp_full_match(t, '\\d+')"
-        f" AND coalesce({parts}[i + 1], '') NOT IN {units})"
+        f" AND coalesce({parts}[i + 1], '') NOT IN {_UNITS})"
     )
     return f"array_to_string(list_sort(list_distinct({bare})), '@')"
 
@@ -43,10 +49,6 @@ NAMES = f"""
 names AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id, {NAME} AS product_name, p_type AS category,
                  {_normalised(NAME)} AS name FROM part)"""
 
-_PLY = "nullif(regexp_extract(name, '\\b(\\d+)\\s*ply\\b', 1), '')"
-_PACK = "nullif(regexp_extract(name, '\\b(\\d+)\\s*(pack|pk|pcs|pieces)\\b', 1), '')"
-_SIZE = "\\b(\\d+(?:\\.\\d+)?)\\s*(g|kg|ml|l|m)\\b"
-
 FEATURES = f"""{NAMES},
 features AS (SELECT DISTINCT category, name, split_part(name, ' ', 1) AS brand,
   replace({_numbers("name")}, '@', ' ') AS numbers, {_PLY} AS ply, {_PACK} AS pack,

@@ -14,6 +14,11 @@ PRICE_STEPS = [(5, 100), (10, 85), (15, 70), (25, 45)]
 FAR_PRICE_SCORE = 20
 NAME_WEIGHT, PRICE_WEIGHT = 0.75, 0.25
 TOKEN_SET_WEIGHT, TOKEN_SORT_WEIGHT, PARTIAL_WEIGHT = 0.50, 0.35, 0.15
+# wording of the reasons
+NO_PRICE = "Missing max_price for one or both products"
+BAD_PRICE = "Invalid max_price for one or both products"
+PRICE_TEXT, VERSUS, DIFFERENCE_TEXT = "max_price ", " vs ", "; difference="
+DIFFERENT_PLY, DIFFERENT_PACK, DIFFERENT_SIZE = "Different ply: ", "Different pack count: ", "Different size: "
 DEFAULT_MIN_SCORE = 70
 CHEAPEST, FULL_PRICE, DISCOUNTED = "cheapest", "full price", "discounted"
 # --------------------------------------------------------------------------
@@ -42,19 +47,19 @@ def price_reason(left: Column, right: Column) -> Column:
     return (
         F.when(
             left.isNull() | right.isNull(),
-            F.lit("Missing max_price for one or both products"),
+            F.lit(NO_PRICE),
         )
         .when(
             (left <= 0) | (right <= 0),
-            F.lit("Invalid max_price for one or both products"),
+            F.lit(BAD_PRICE),
         )
         .otherwise(
             F.concat(
-                F.lit("max_price "),
+                F.lit(PRICE_TEXT),
                 fixed_text(left, 2),
-                F.lit(" vs "),
+                F.lit(VERSUS),
                 fixed_text(right, 2),
-                F.lit("; difference="),
+                F.lit(DIFFERENCE_TEXT),
                 fixed_text(price_gap(left, right), 1),
                 F.lit("%"),
             )
@@ -82,13 +87,13 @@ def penalty_reasons(left: Column, right: Column) -> Column:
     """The penalties in words, ``; `` between them; empty when there are none."""
 
     def reason(label: str, a: Column, b: Column) -> Column:
-        return F.when(_differs(a, b), F.concat(F.lit(f"Different {label}: "), a, F.lit(" vs "), b))
+        return F.when(_differs(a, b), F.concat(F.lit(label), a, F.lit(VERSUS), b))
 
     return F.concat_ws(
         "; ",
-        reason("ply", left["ply"], right["ply"]),
-        reason("pack count", left["pack"], right["pack"]),
-        reason("size", size_text(left), size_text(right)),
+        reason(DIFFERENT_PLY, left["ply"], right["ply"]),
+        reason(DIFFERENT_PACK, left["pack"], right["pack"]),
+        reason(DIFFERENT_SIZE, size_text(left), size_text(right)),
     )
 
 
