@@ -19,7 +19,7 @@ from pricing_engine.session import staged
 WORD = r"[^\x20\x09-\x0D]+"
 _WORDS = re.compile(WORD)
 _UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-# Texts per slice of an Arrow batch, in characters: bounds a task's memory.
+# Texts per slice of an Arrow batch, in bytes: bounds a task's memory.
 SLICE_CHARS = 8_000_000
 
 
@@ -58,14 +58,14 @@ def lower_ascii(text: str) -> str:
     return text.translate(_UPPER) if not text.isascii() else text.lower()
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch of at most ``SLICE_CHARS`` bytes of text, or one row."""
+def slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch of at most ``size`` bytes of text, or one row."""
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.cumsum([0 if x is None else x for x in pc.binary_length(column).to_pylist()])
     start = 0
     while start < batch.num_rows:
         base = sizes[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(sizes, base + SLICE_CHARS, "right")))
+        end = max(start + 1, int(np.searchsorted(sizes, base + size, "right")))
         yield batch.slice(start, end - start)
         start = end
 
@@ -98,7 +98,7 @@ def crc_fold(doc_id: int | None, folds: int) -> int | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % folds
 
 
-def connected(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for all nodes of ``edges``: root is the least node reachable.
 
     Large-star and small-star rounds: every node is linked to the least node it
@@ -110,7 +110,7 @@ def connected(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFra
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     pairs = staged(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     mark = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-    for _ in range(max_rounds):
+    while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
