@@ -30,7 +30,8 @@ PASSAGE = 64  # words, or the longest item's
 RANGE = 8  # items of a block; items are ordered by length, so that a block's weights are alike
 CLOSED = 0.4  # of the least score: what the unopened lists may reach
 CHUNK = 512  # passages scored at a time
-INDEX_ITEMS = 20_000  # items of an index that a task holds; more make more indexes
+INDEX_ITEMS = 20_000  # items of an index that a task holds, about; more make more indexes
+INDEX_CHARS = 20_000_000  # characters of them
 _DROPPED = re.compile(r"[^\w\s]+|_+")
 
 
@@ -207,7 +208,7 @@ _WORDS = "item_id long, text string, words array<string>"
 def indexes(items: DataFrame, most: int = INDEX_ITEMS) -> Iterator[Index]:
     """Indexes of all ``items`` (item_id, text), about ``most`` items each, with common statistics.
 
-    Words and lengths are counted over all items; one block of items is fetched at a time.
+    What a task holds of them is bounded by ``most`` and ``INDEX_CHARS``.  Words and lengths are counted over all items; one block of items is fetched at a time.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,11 +218,13 @@ def indexes(items: DataFrame, most: int = INDEX_ITEMS) -> Iterator[Index]:
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = staged(rows.mapInArrow(split, _WORDS), "items")
-    total, length, longest = rows.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()
+    total, length, longest, chars = rows.agg(
+        F.count("*"), F.avg(F.size("words")), F.max(F.size("words")), F.sum(F.length("text"))
+    ).first()
     if not total:
         return
     passage = max(PASSAGE, longest + longest % 2)
-    blocks = -(-total // most)
+    blocks = max(-(-total // most), -(-chars // INDEX_CHARS))
     counted = rows.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").count()
     for block in range(blocks):
         own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)

@@ -10,7 +10,7 @@ from pricing_engine.llm.common import fresh_name, with_row_key
 MAX_RATIO = 0.1
 MIN_PAGES = 5
 
-HIDDEN = r"(?is)<script\b[^>]*+>.*?</script\s*+>|<style\b[^>]*+>.*?</style\s*+>|<!--.*?-->"
+HIDDEN = r"(?is)<(?:script\b[^>]*+>.*?</script\s*+>|style\b[^>]*+>.*?</style\s*+>|!--.*?-->)"
 BREAKS = (
     r"(?i)</?(?:article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main"
     r"|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*+>"
@@ -56,9 +56,10 @@ def drop_frequent_lines(
     summed before it is sent.  The rows are staged once; only keys of lines are
     shuffled twice, and texts once, to the pages that lose lines.
     """
-    key, page, gone, kept_lines = (fresh_name(pages, n) for n in ("row_key", "page_key", "gone", "kept_lines"))
-    rows = with_row_key(pages, key)
-    lines = F.filter(F.transform(F.split(F.col(text), "\n"), _line_key), lambda k: k.isNotNull())
+    key, page, gone, every = (fresh_name(pages, n) for n in ("row_key", "page_key", "gone", "every_line"))
+    # staged as lines, which are split once
+    rows = with_row_key(pages.withColumn(every, F.split(F.col(text), "\n")).drop(text), key)
+    lines = F.filter(F.transform(F.col(every), _line_key), lambda k: k.isNotNull())
     exploded = rows.select(
         F.col(key).alias("page"), F.col(host).alias("host"), F.explode(F.array_distinct(lines)).alias("line")
     )
@@ -78,14 +79,14 @@ def drop_frequent_lines(
     # at most 1 / max_ratio lines of a host for each line of its mean page
     hits = hits.groupBy(F.col("page").alias(page)).agg(F.collect_set("line").alias(gone))
     joined = rows.join(hits, F.col(key) == F.col(page), "left")
-    split = F.split(F.col(text), "\n")
-    kept = F.when(
-        F.col(gone).isNull(), split
-    ).otherwise(F.filter(split, lambda s: ~F.coalesce(F.array_contains(F.col(gone), _line_key(s)), F.lit(False))))
-    counted = joined.withColumn(kept_lines, kept)
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split)).cast("long")
-    n_kept = F.when(F.col(text).isNull(), 0).otherwise(F.size(kept_lines)).cast("long")
-    shown = F.when(F.col(text).isNotNull(), F.array_join(kept_lines, "\n")).alias(text)
-    counts = [n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped")] if counted_lines else []
+    left = F.when(F.col(gone).isNull(), F.col(every)).otherwise(
+        F.filter(every, lambda s: ~F.coalesce(F.array_contains(F.col(gone), _line_key(s)), F.lit(False)))
+    )
+    counted = joined.withColumn(gone, left)
+    n_lines = F.coalesce(F.size(every), F.lit(0)).cast("long")
+    n_kept = F.coalesce(F.size(gone), F.lit(0)).cast("long")
+    n_lines, n_kept = (F.when(F.col(every).isNull(), 0).otherwise(n) for n in (n_lines, n_kept))
+    shown = F.array_join(gone, "\n").alias(text)
+    counts = [n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped")] if counted_lines else []
     taken = ("n_lines", "n_dropped") if counted_lines else ()
     return counted.select(*[shown if c == text else F.col(c) for c in pages.columns if c.lower() not in taken], *counts)
