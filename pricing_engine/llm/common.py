@@ -35,9 +35,15 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """``df`` staged with a number for every row, which later reads all agree on."""
-    return staged(df.withColumn(name, F.monotonically_increasing_id()), "rows")
+def content_key(columns: list[str], a: str, b: str) -> list[Column]:
+    """128 bits that stand for a row's values, as two columns.
+
+    Unlike a row number it needs no staged copy: every scan gives a row the same key.
+    Equal rows have equal keys.
+    """
+    values = [F.col(c) for c in columns]
+    values += [F.isnull(v) for v in values]  # hashes pass over nulls
+    return [F.xxhash64(*values).alias(a), F.xxhash64(F.lit(7), *values).alias(b)]
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pricing_engine.llm.common import fresh_name, with_row_key
+from pricing_engine.llm.common import content_key, fresh_name
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -47,23 +48,24 @@ def drop_frequent_lines(
 
     A line (compared without blanks at its ends) is boilerplate of its host if it
     stands on at least ``min_pages`` of the host's pages and on more than
-    ``max_ratio`` of them.  Lines end with ``\\n``; blank lines stay.  Null texts stay
-    null with 0 lines; a null host is a host of its own; every row is a page, repeated
-    rows too.  Columns n_lines and n_dropped replace such columns of ``pages``.
+    ``max_ratio`` of them.  ``text`` is a string whose lines end with ``\\n``, or an
+    array of lines; it comes out as a string.  Blank lines stay.  Null texts stay null
+    with 0 lines; a null host is a host of its own; every row is a page, repeated rows
+    too.  Columns n_lines and n_dropped replace such columns of ``pages``.
 
     A page's lines are made distinct within its row, so that counting needs one
     shuffle of partial counts by (host, line), and a line common to a whole host is
-    summed before it is sent.  The rows are staged once; only keys of lines are
-    shuffled twice, and texts once, to the pages that lose lines.
+    summed before it is sent.  Texts are shuffled once, to the pages that lose lines,
+    which are told by host and text.
     """
-    key, page, gone, every = (fresh_name(pages, n) for n in ("row_key", "page_key", "gone", "every_line"))
-    # staged as lines, which are split once
-    rows = with_row_key(pages.withColumn(every, F.split(F.col(text), "\n")).drop(text), key)
-    lines = F.filter(F.transform(F.col(every), _line_key), lambda k: k.isNotNull())
+    a, b, of_a, of_b, gone = (fresh_name(pages, n) for n in ("key_a", "key_b", "of_a", "of_b", "gone"))
+    rows = pages.select("*", *content_key([host, text], a, b))
+    every = F.col(text) if isinstance(pages.schema[text].dataType, T.ArrayType) else F.split(F.col(text), "\n")
+    lines = F.filter(F.transform(every, _line_key), lambda k: k.isNotNull())
     exploded = rows.select(
-        F.col(key).alias("page"), F.col(host).alias("host"), F.explode(F.array_distinct(lines)).alias("line")
+        F.col(a).alias(of_a), F.col(b).alias(of_b), F.col(host).alias("host"), F.explode(F.array_distinct(lines)).alias("line")
     )
-    totals = rows.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages"))
+    totals = pages.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("pages"))
     counts = exploded.groupBy("host", "line").agg(F.count("*").alias("on")).filter(F.col("on") >= min_pages)
     frequent = (
         counts.join(totals, counts["host"].eqNullSafe(totals["host"]))
@@ -77,16 +79,18 @@ def drop_frequent_lines(
         & exploded["host"].eqNullSafe(frequent["of"]),
     )
     # at most 1 / max_ratio lines of a host for each line of its mean page
-    hits = hits.groupBy(F.col("page").alias(page)).agg(F.collect_set("line").alias(gone))
-    joined = rows.join(hits, F.col(key) == F.col(page), "left")
-    left = F.when(F.col(gone).isNull(), F.col(every)).otherwise(
+    hits = hits.groupBy(of_a, of_b).agg(F.collect_set("line").alias(gone))
+    joined = rows.join(hits, (F.col(a) == F.col(of_a)) & (F.col(b) == F.col(of_b)), "left")
+    left = F.when(F.col(gone).isNull(), every).otherwise(
         F.filter(every, lambda s: ~F.coalesce(F.array_contains(F.col(gone), _line_key(s)), F.lit(False)))
     )
     counted = joined.withColumn(gone, left)
-    n_lines = F.coalesce(F.size(every), F.lit(0)).cast("long")
-    n_kept = F.coalesce(F.size(gone), F.lit(0)).cast("long")
-    n_lines, n_kept = (F.when(F.col(every).isNull(), 0).otherwise(n) for n in (n_lines, n_kept))
+
+    def number(of: Column) -> Column:
+        return F.when(F.col(text).isNull(), 0).otherwise(F.size(of)).cast("long")
+
+    n_lines, n_kept = number(every), number(F.col(gone))
     shown = F.array_join(gone, "\n").alias(text)
-    counts = [n_lines.cast("long").alias("n_lines"), (n_lines - n_kept).cast("long").alias("n_dropped")] if counted_lines else []
+    counts = [n_lines.alias("n_lines"), (n_lines - n_kept).alias("n_dropped")] if counted_lines else []
     taken = ("n_lines", "n_dropped") if counted_lines else ()
     return counted.select(*[shown if c == text else F.col(c) for c in pages.columns if c.lower() not in taken], *counts)

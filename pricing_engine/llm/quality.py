@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricing_engine.llm.common import fresh_name, slices, words_of
+from pricing_engine.llm.common import slices, words_of
 from pricing_engine.session import staged
 
 FOLDS = 4
@@ -76,8 +76,8 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
-def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), name: str = "stats") -> DataFrame:
-    """``keep`` columns of ``docs`` and the text's statistics as an array ``name``."""
+def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns of ``docs`` and ``stats``, an array of the text's statistics."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -85,9 +85,9 @@ def with_statistics(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), name:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 stats = pa.array([statistics(t) for t in texts], pa.list_(pa.float64()))
                 columns = [batch.column(batch.schema.get_field_index(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*columns, stats], names=[*keep, name])
+                yield pa.RecordBatch.from_arrays([*columns, stats], names=[*keep, "stats"])
 
-    schema = docs.select(*keep).schema.add(name, T.ArrayType(T.DoubleType()))
+    schema = docs.select(*keep).schema.add("stats", T.ArrayType(T.DoubleType()))
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
 
 
@@ -249,18 +249,17 @@ def scored(stats: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 def accepted(docs: DataFrame, labels: DataFrame, use: Column, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` (doc_id, text) that score ``threshold`` or more, with all their columns.
 
-    Null texts are scored as empty ones.  Statistics are taken once and staged with
-    the rows, from which the model is learned as in :func:`learned`.
+    Null texts are scored as empty ones.  The model is learned as in :func:`learned`
+    from one pass over the texts; a second one scores and filters, so no text is
+    staged or shuffled.
     """
-    name = fresh_name(docs, "stats")
-    rows = staged(with_statistics(docs, tuple(docs.columns), name), "rated")
-    model = learned(rows.select("doc_id", F.col(name).alias("stats")), labels, use)
-    at = rows.columns.index(name)
+    model = learned(staged(with_statistics(docs), "stats"), labels, use)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                good = model.score(_matrix(batch, at)) >= threshold
-                yield batch.select(range(at)).filter(pa.array(good))
+                stats = np.array([statistics(t) for t in batch.column(at).to_pylist()])
+                yield batch.filter(pa.array(model.score(stats) >= threshold))
 
-    return rows.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
