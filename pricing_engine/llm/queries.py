@@ -61,10 +61,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of all pages without the boilerplate lines of their hosts."""
-    pages = table(spark, sf_dir, "pages").select(
-        "page_id", host_of(F.col("url")).alias("host"), page_text(F.col("html")).alias("text")
-    )
-    return drop_frequent_lines(pages, "host", "text")
+    lines = F.split(page_text(F.col("html")), "\n").alias("text")
+    pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), lines)
+    # tags are cut out and lines split once
+    return drop_frequent_lines(staged(pages, "pages"), "host", "text")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
