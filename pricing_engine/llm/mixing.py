@@ -177,10 +177,12 @@ def mixed(
     rows = rows.withColumn("mark", mark).withColumn("salt", F.pmod("mark", F.lit(salts)))
     parts = rows.filter("size > 0").groupBy("key", "size", "salt").agg(F.count("*").alias("held"))
     upto = F.sum("held").over(Window.partitionBy("key", "size").orderBy("salt"))
-    share_of = lambda n: F.floor((F.col("copies") * n).cast("decimal(38,0)") / F.col("number")).cast("long")
+    def share_of(docs: str) -> Column:
+        return F.expr(f"cast(copies AS decimal(19,0)) * cast({docs} AS decimal(19,0)) DIV cast(number AS decimal(19,0))")
+
     parts = (
         parts.withColumn("upto", upto).join(cells, ["key", "size"])
-        .select("key", "size", "salt", "held", "rate", (share_of(F.col("upto")) - share_of(F.col("upto") - F.col("held"))).alias("quota"))
+        .select("key", "size", "salt", "held", "rate", (share_of("upto") - share_of("upto - held")).alias("quota"))
     )
     place = F.row_number().over(Window.partitionBy("key", "size", "salt").orderBy("mark", "doc_id", *keep))
     placed = rows.withColumn("place", place).join(parts, ["key", "size", "salt"], "left")
