@@ -9,6 +9,7 @@ from pricing_engine.llm import chat, decontamination, language, licenses, qualit
 from pricing_engine.llm.common import fold, table
 from pricing_engine.llm.line_dedup import drop_frequent_lines, host_of, page_text
 from pricing_engine.llm.mixing import mixed
+from pricing_engine.llm.negatives import hard_negatives, in_steps, whole_vectors
 from pricing_engine.llm.passages import repeated_passages
 from pricing_engine.llm.simhash import near_groups
 from pricing_engine.llm.sketches import compared_with_next
@@ -84,7 +85,15 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_chat_examples, op4_passages, op5_simhash_groups, op6_language, op7_line_dedup, op8_mix_sources, op9_sketches, op10_decontamination)}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector among all, with every seventh label shifted."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").filter(whole_vectors("embedding"))
+    rows = rows.select("vec_id", shifted.alias("label"), in_steps("embedding").alias("x"))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_chat_examples, op4_passages, op5_simhash_groups, op6_language, op7_line_dedup, op8_mix_sources, op9_sketches, op10_decontamination, op13_hard_negatives)}
 
 OP7_SQL = r"""
 WITH shown AS (
