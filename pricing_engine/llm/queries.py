@@ -13,6 +13,7 @@ from pricing_engine.llm.negatives import hard_negatives, in_steps, whole_vectors
 from pricing_engine.llm.passages import repeated_passages
 from pricing_engine.llm.simhash import near_groups
 from pricing_engine.llm.sketches import compared_with_next
+from pricing_engine.llm.whitening import whitened
 from pricing_engine.session import staged
 
 
@@ -85,6 +86,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of all vectors along their first four components."""
+    rows = table(spark, sf_dir, "embeddings").filter(whole_vectors("embedding"))
+    found = whitened(rows.select("vec_id", in_steps("embedding").alias("x")))
+    # the operator's sum has any size; the query's column is a long, null beyond it
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every hundredth vector among all, with every seventh label shifted."""
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -93,7 +102,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_chat_examples, op4_passages, op5_simhash_groups, op6_language, op7_line_dedup, op8_mix_sources, op9_sketches, op10_decontamination, op13_hard_negatives)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_chat_examples, op4_passages, op5_simhash_groups, op6_language, op7_line_dedup, op8_mix_sources, op9_sketches, op10_decontamination, op12_whitening, op13_hard_negatives)}
 
 OP7_SQL = r"""
 WITH shown AS (
