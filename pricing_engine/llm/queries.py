@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricing_engine.llm import chat, decontamination, language, licenses, quality
 from pricing_engine.llm.common import fold, table
+from pricing_engine.llm.jaccard import jaccard_components
 from pricing_engine.llm.line_dedup import drop_frequent_lines, host_of, page_text
 from pricing_engine.llm.mixing import mixed
 from pricing_engine.llm.negatives import hard_negatives, in_steps, whole_vectors
@@ -86,6 +87,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the class of those whose three-word shingles are alike by 0.9 or more."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened coordinates of all vectors along their first four components."""
     rows = table(spark, sf_dir, "embeddings").filter(whole_vectors("embedding"))
@@ -102,7 +108,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_chat_examples, op4_passages, op5_simhash_groups, op6_language, op7_line_dedup, op8_mix_sources, op9_sketches, op10_decontamination, op12_whitening, op13_hard_negatives)}
+QUERIES = {q.__name__: q for q in (op1_quality, op2_licenses, op3_chat_examples, op4_passages, op5_simhash_groups, op6_language, op7_line_dedup, op8_mix_sources, op9_sketches, op10_decontamination, op11_jaccard_join, op12_whitening, op13_hard_negatives)}
 
 OP7_SQL = r"""
 WITH shown AS (
