@@ -12,7 +12,7 @@ from pricing_engine.catalogue.names import AS_OF, CONFIG, json_payloads
 from pricing_engine.catalogue.stored import Query
 from pricing_engine.operators import history as H
 from pricing_engine.operators import ingest as I
-from pricing_engine.operators.metrics import fold_metrics
+from pricing_engine.operators.metrics import fold_metrics, group_metrics
 from pricing_engine.operators.numbering import number_rows
 from pricing_engine.plans.jobs import daily_run, ingest_payloads, rejects_by_reason
 from pricing_engine.schemas import PAYLOADS
@@ -21,12 +21,13 @@ from pricing_engine.sources import sample_tables as T
 from pricing_engine.sources.payloads import scan_payloads
 from pricing_engine.sources.sinks import TableStore, export_csv
 from pricing_engine.sources.tables import scan_price_history, scan_table
+from pricing_engine.streaming.incremental import maintain_tables
 
 READERS = {"ASIA": I.read_json_list_price, "EUROPE": I.read_json_list_price}
 
 
-def _store(spark: SparkSession, buckets: int = 0) -> TableStore:
-    return TableStore(spark, scratch_path(spark, "query-store"), buckets)
+def _store(spark: SparkSession, buckets: int = 0, history_by: str = "date") -> TableStore:
+    return TableStore(spark, scratch_path(spark, "query-store"), buckets, history_by)
 
 
 def history_csv(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,6 +92,58 @@ def bucketed_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return store.read("product_metrics")
 
 
+def _by_arrival(spark: SparkSession, sf: str, n: int) -> list[str]:
+    """Conditions that cut the lines into ``n`` runs of order keys, the main part of arrival."""
+    last = T.lines_of(spark, sf).agg(F.max("l_orderkey")).first()[0] or 0
+    cuts = [last * i // n for i in range(n + 1)]
+    return [f"l_orderkey > {a if i else -1} AND l_orderkey <= {b}" for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+
+
+def interleaved_writers(spark: SparkSession, sf: str) -> DataFrame:
+    """A history to which a second writer publishes while the first one computes its merge."""
+    store = _store(spark, history_by="month")
+    older, newer = (T.observations(spark, sf, lines) for lines in _by_arrival(spark, sf, 2))
+    waiting = [older]
+
+    def change(stored: DataFrame) -> DataFrame:
+        merged = staged(H.upsert_history(stored, newer), "merged")
+        if waiting:
+            store.merge_history(waiting.pop())
+        return merged
+
+    return store.update("price_history", change, newer)
+
+
+def group_bounds_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Group bounds published after half of the observations, and again after all."""
+    store = _store(spark, buckets=8)
+    membership = T.membership(spark, sf)
+    for lines in _by_arrival(spark, sf, 2):
+        bounds = store.fold_metrics(T.observations(spark, sf, lines))
+        store.replace("grouped_product_metrics", group_metrics(membership, bounds))
+    return store.read("grouped_product_metrics")
+
+
+def _streamed(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    """A stored table after a stream of records that land in three runs."""
+    store = _store(spark, buckets=8, history_by="month")
+    landed, checkpoint = scratch_path(spark, "records"), scratch_path(spark, "records-checkpoint")
+    for lines in _by_arrival(spark, sf, 3):
+        records = T.records(spark, sf, lines)
+        records.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(records.schema).parquet(landed)
+        maintain_tables(stream, store, checkpoint).awaitTermination()
+    return store.read(table)
+
+
+def streamed_history(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, sf, "price_history")
+
+
+def streamed_registry(spark: SparkSession, sf: str) -> DataFrame:
+    return _streamed(spark, sf, "products")
+
+
 def _landed(spark: SparkSession, sf: str) -> DataFrame:
     """Responses as they land: arrival numbers become places in the run."""
     path = scratch_path(spark, "landed")
@@ -123,6 +176,10 @@ QUERIES: dict[str, Query] = {
     "snk_2_history_merges": history_merges,
     "snk_3_registry_versions": registry_versions,
     "snk_4_bucketed_metrics": bucketed_metrics,
+    "snk_2_interleaved_writers": interleaved_writers,
+    "snk_5_group_bounds_versions": group_bounds_versions,
+    "str_1_stream_history": streamed_history,
+    "str_1_stream_registry": streamed_registry,
     "pip_1_daily_history": daily_history,
     "pip_1_daily_rejects": daily_rejects,
 }

@@ -34,6 +34,18 @@ ORACLES: dict[str, str] = {
         SNAPSHOT,
         "SELECT product_id, vendor, max(price) AS max_price, min(price) AS min_price, max(date) AS last_updated FROM lines GROUP BY ALL",
     ),
+    "snk_2_interleaved_writers": _with(HISTORY, "SELECT date, product_id, vendor, category, price FROM history"),
+    "snk_5_group_bounds_versions": _with(
+        f"{LINES}, {LISTINGS}, allbounds AS (SELECT product_id, vendor, max(price) AS hi, min(price) AS lo, max(date) AS seen FROM lines GROUP BY ALL)",
+        """SELECT l.group_id, l.product_name AS group_name, l.category, max(hi) AS max_price, min(lo) AS min_price, max(seen) AS last_updated
+           FROM listings l LEFT JOIN allbounds b ON l.product_id = b.product_id AND l.vendor = b.vendor GROUP BY ALL""",
+    ),
+    "str_1_stream_history": _with(HISTORY, "SELECT date, product_id, vendor, category, price FROM history"),
+    "str_1_stream_registry": _with(
+        LINES,
+        """SELECT product_id, vendor, product_name, category, source, date AS last_seen FROM lines
+           QUALIFY row_number() OVER (PARTITION BY product_id, vendor ORDER BY arrival DESC) = 1""",
+    ),
     "pip_1_daily_history": _recursive(
         JSON_ROWS,
         f""", found AS (SELECT DISTINCT category, vendor, product_id AS raw FROM good WHERE source = 'search' AND {_FETCHED}),

@@ -15,21 +15,16 @@ from pricing_engine.operators.groups import has_unmatched_products
 from pricing_engine.operators.history import (
     ARRIVAL,
     ARRIVAL_TYPE,
-    product_rows,
-    upsert_registry,
+    latest_batch,
 )
 from pricing_engine.operators.matching import assign_best, assign_reviewed, new_review_queue, review_queue
-from pricing_engine.operators.metrics import (
-    check_groups,
-    fold_latest_batch,
-    fold_metrics,
-    group_metrics,
-)
+from pricing_engine.operators.metrics import check_groups, group_metrics
 from pricing_engine.plans.analysis import analyse_groups, category_lists
 from pricing_engine.session import staged
 from pricing_engine.sources.category_config import check_categories, config_table, fetch_targets
 from pricing_engine.sources.payloads import successful
 from pricing_engine.sources.sinks import TableStore
+from pricing_engine.sources.tables import valid_prices
 
 
 
@@ -80,8 +75,7 @@ def store_records(store: TableStore, records: DataFrame) -> None:
     store.create_missing()
     prices = records.select("date", "product_id", "vendor", "category", "price", ARRIVAL)
     store.merge_history(prices)
-    products = upsert_registry(store.read("products"), product_rows(records))
-    store.replace("products", products)
+    store.merge_products(records)
 
 
 def match_products(
@@ -95,28 +89,26 @@ def match_products(
     With ``decisions`` a product joins the best group accepted for it, and with
     ``new_decisions`` the group of an accepted leader; without, the best-scoring group.
     """
-    products, membership = store.read("products"), store.read("product_match")
-    if not has_unmatched_products(products, membership):
+    products, metrics = store.read("products"), store.read("product_metrics")
+    if not has_unmatched_products(products, store.read("product_match")):
         return False
-    metrics = store.read("product_metrics")
-    if decisions is None:
-        matched = assign_best(products, membership, metrics, min_score)
-    else:
+
+    def matched(membership: DataFrame) -> DataFrame:
+        if decisions is None:
+            return assign_best(products, membership, metrics, min_score)
         queue = review_queue(products, membership, metrics, min_score)
         new_queue = None if new_decisions is None else new_review_queue(products, membership, metrics, min_score)
-        matched = assign_reviewed(products, membership, queue, decisions, new_queue, new_decisions)
-    store.replace("product_match", matched)
+        return assign_reviewed(products, membership, queue, decisions, new_queue, new_decisions)
+
+    store.update("product_match", matched)
     return True
 
 
 def update_metrics(store: TableStore, records: DataFrame | None = None) -> None:
     """Fold records, or the newest stored date, into the bounds; then the groups'."""
-    existing = store.read("product_metrics")
     if records is None:
-        folded = fold_latest_batch(existing, store.read("price_history"))
-    else:
-        folded = fold_metrics(existing, records)
-    metrics = store.replace("product_metrics", folded)
+        records = latest_batch(valid_prices(store.read("price_history")))
+    metrics = store.fold_metrics(records)
     if store.exists("product_match"):
         grouped = group_metrics(store.read("product_match"), metrics)
         store.replace("grouped_product_metrics", check_groups(staged(grouped, "group-bounds")))

@@ -64,7 +64,14 @@ TABLES = {
     "grouped_product_metrics": GROUP_METRICS,
 }
 
-# the order in which each stored table is written
+# what the partitions of a stored table follow: the date itself, or a hash into buckets
+PARTITIONED_BY = {
+    "price_history": ["date"],
+    "products": ["product_id", "vendor"],
+    "product_metrics": ["product_id", "vendor"],
+}
+
+# the order in which each stored table, or each partition of it, is written
 SORT_ORDER = {
     "price_history": ["date", "vendor", "category", "product_id"],
     "products": ["vendor", "category", "product_name"],

@@ -13,6 +13,7 @@ from pyspark.sql.types import StructType
 
 from pricing_engine.operators.history import ARRIVAL, ARRIVAL_TYPE, HISTORY_KEY, keep_last
 from pricing_engine.operators.metrics import batch_metrics, group_metrics
+from pricing_engine.session import staged
 
 
 
@@ -42,8 +43,22 @@ def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem")
 
 
+_LOOKUPS: dict[tuple[str, str], DataFrame] = {}
+
+
 def vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier key to vendor."""
+    """Supplier key to vendor, written once per application.
+
+    Of a written table Spark knows the size.  Of a join it multiplies the sizes of its
+    sides, and would take the lookup for larger than the lines that it is joined with.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _LOOKUPS:
+        _LOOKUPS[key] = staged(_vendors(spark, sf_dir), "vendors")
+    return _LOOKUPS[key]
+
+
+def _vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = read(spark, sf_dir, "supplier")
     return (
         suppliers.join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))

@@ -1,151 +1,186 @@
 """Versioned tables on shared storage.
 
-Each write goes to a new version folder and becomes current by one row appended
-to a manifest, so a failed job leaves the current version untouched and no job
-overwrites what it reads.  Two tables are exceptions: the price history is
-partitioned by date and only the dates of a batch are replaced, and the metrics of a
-store with buckets are partitioned by a hash of the product and only the buckets of
-a batch are.
+Every write goes to folders of its own and becomes current through the table's log,
+so a failed job leaves the current version untouched, nobody overwrites what others
+read, and of two writers neither loses its rows unnoticed.  The price history is
+partitioned by date; tables by product are, in a store with buckets, partitioned by a
+hash of the product.  A batch writes new folders for the partitions it touches, and
+the next version names them beside the old folders of all others.
 """
 
 from __future__ import annotations
 
-import uuid
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, replace
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pricing_engine.operators.history import ARRIVAL, PRODUCT_KEY, upsert_history
+from pricing_engine.operators.history import ARRIVAL, PRODUCT_KEY, product_rows, upsert_history, upsert_registry
 from pricing_engine.operators.metrics import fold_metrics
-from pricing_engine.schemas import PRICE_HISTORY, SORT_ORDER, TABLES, empty_table
-from pricing_engine.session import scratch_path, staged
+from pricing_engine.schemas import PARTITIONED_BY, SORT_ORDER, TABLES, empty_table
+from pricing_engine.session import staged
 from pricing_engine.sources.tables import conform
+from pricing_engine.sources.versions import ConflictError, Source, Version, VersionLog
 
-_MANIFEST = "table string, version bigint, folder string"
+ATTEMPTS = 5
+_NULL = "__HIVE_DEFAULT_PARTITION__"
 
 
 @dataclass
 class TableStore:
-    """The five tables of the engine below one root folder.
+    """The tables of the engine below one root folder.
 
-    With ``buckets`` the product metrics are kept in that many partitions, so that a
-    small batch costs the buckets it touches and not the whole table.
+    With ``buckets``, tables by product and by group are kept in that many partitions,
+    so that a small batch costs the buckets it touches and not the whole table.  The
+    history may be kept by month where days are too small for files of their own.
     """
 
     spark: SparkSession
     root: str
     buckets: int = 0
+    history_by: str = "date"  # or "month"
 
-    def _manifest_path(self) -> str:
-        return f"{self.root}/_manifest"
-
-    def _current_folder(self, table: str) -> tuple[int, str] | None:
-        """Latest version of a table: one row of a manifest with one row per write."""
-        try:
-            manifest = self.spark.read.schema(_MANIFEST).json(self._manifest_path())
-        except AnalysisException as error:
-            if (error.getCondition() or "").startswith("PATH_NOT_FOUND"):
-                return None
-            raise
-        last = manifest.where(F.col("table") == table).agg(
-            F.max(F.struct("version", "folder")).alias("last")
-        )
-        row = last.first()
-        return (row["last"]["version"], row["last"]["folder"]) if row["last"] else None
-
-    def _publish(self, table: str, version: int, folder: str) -> None:
-        entry = self.spark.createDataFrame([(table, version, folder)], _MANIFEST)
-        entry.coalesce(1).write.mode("append").json(self._manifest_path())
+    def log(self, table: str) -> VersionLog:
+        return VersionLog(self.spark, f"{self.root}/{table}")
+
+    def version(self, table: str) -> Version:
+        return self.log(table).latest()
 
     def exists(self, table: str) -> bool:
-        return self._current_folder(table) is not None
+        return self.version(table).number >= 0
+
+    def partition(self, table: str) -> tuple[str, Column] | None:
+        """Name and value of the column that a table is partitioned by."""
+        by = PARTITIONED_BY.get(table)
+        if by is None or (by != ["date"] and not self.buckets):
+            return None
+        if by == ["date"]:
+            return self.history_by, F.col("date") if self.history_by == "date" else F.date_format("date", "yyyy-MM")
+        return "bucket", F.pmod(F.xxhash64(*by), F.lit(self.buckets)).cast("int")
+
+    def parts_of(self, table: str, rows: DataFrame) -> dict[str, str | None] | None:
+        """Partitions of a table that rows belong to: as many as dates or buckets."""
+        by = self.partition(table)
+        if by is None:
+            return None
+        found = rows.select(by[1].cast("string")).distinct().collect()
+        return {_NULL if r[0] is None else r[0]: None for r in found}
+
+    def at(self, table: str, version: Version, parts: Iterable[str] | None = None) -> DataFrame:
+        """A table as of a version, or some partitions of it."""
+        folders = version.folders if parts is None else {p: version.folders[p] for p in parts if p in version.folders}
+        if not folders:
+            return empty_table(self.spark, TABLES[table])
+        base = f"{self.root}/{table}"
+        fields = [*TABLES[table].fields, T.StructField("v", T.StringType())]
+        for name in ("bucket", "month"):
+            if f"/{name}=" in next(iter(folders.values())):
+                fields.append(T.StructField(name, T.StringType()))
+        # folders that the log names must be there; their schema is known
+        read = self.spark.read.schema(T.StructType(fields)).option("basePath", base)
+        return conform(read.parquet(*[f"{base}/{f}" for f in version.paths(folders)]), table)
 
     def read(self, table: str, missing_ok: bool = True) -> DataFrame:
-        current = self._current_folder(table)
-        if current is None:
-            if missing_ok:
-                return empty_table(self.spark, TABLES[table])
+        version = self.version(table)
+        if version.number < 0 and not missing_ok:
             raise FileNotFoundError(f"table {table} does not exist below {self.root}")
-        # a folder that the manifest names must be there; its schema is known
-        return conform(self.spark.read.schema(TABLES[table]).parquet(current[1]), table)
-
-    def replace(self, table: str, rows: DataFrame) -> DataFrame:
-        """Write a new version in the table's order and make it current."""
-        current = self._current_folder(table)
-        version = (current[0] if current else 0) + 1
-        folder = f"{self.root}/{table}/v{version:06d}-{uuid.uuid4().hex[:8]}"
-        checked = conform(rows, table)
-        if table == "product_metrics" and self.buckets:
-            self._write_buckets(checked, folder)
+        return self.at(table, version)
+
+    def _checked(self, table: str, version: Version) -> Version:
+        """The version, if it is dealt into as many buckets as this store's."""
+        own = self.buckets if self.partition(table) and PARTITIONED_BY[table] != ["date"] else 0
+        if version.folders and version.buckets != own:
+            raise ValueError(f"{table} has {version.buckets} buckets, the store {own}")
+        return replace(version, buckets=own)
+
+    def _written(self, table: str, rows: DataFrame, number: int) -> dict[str, str]:
+        """Folders by partition that now hold ``rows``, each in the table's order."""
+        folder, order = self.log(table).new_folder(number), SORT_ORDER[table]
+        path, by = f"{self.root}/{table}/{folder}", self.partition(table)
+        if by is None:
+            rows.orderBy(*order).write.parquet(path)
+            return {"": folder}
+        name, value = by
+        rows = staged(rows, "version")
+        parts = self.parts_of(table, rows)
+        if name == self.history_by:  # a range sort splits a date that holds much over several files
+            dealt = rows.orderBy(*order).withColumn(name, value)
         else:
-            checked.orderBy(*SORT_ORDER[table]).write.parquet(folder)
-        self._publish(table, version, folder)
-        return self.read(table)
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*PRODUCT_KEY), F.lit(self.buckets)).cast("int").alias("bucket")
-
-    def _write_buckets(self, rows: DataFrame, folder: str) -> None:
-        """Write some buckets, each in the table's order; others stay as they are."""
-        dealt = rows.select("*", self._bucket()).repartition("bucket")
-        (
-            dealt.sortWithinPartitions("bucket", *SORT_ORDER["product_metrics"])
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(folder)
-        )
-
-    def fold_metrics(self, prices: DataFrame) -> DataFrame:
-        """Fold a batch of prices into the metrics; of a store with buckets, only those it touches.
-
-        The fold is staged first and idempotent: if the swap of buckets is interrupted,
-        the same batch can be run again.
+            dealt = rows.withColumn(name, value).repartition(name).sortWithinPartitions(name, *order)
+        dealt.write.partitionBy(name).parquet(path)
+        return {p: f"{folder}/{name}={p}" for p in parts}
+
+    def replace(self, table: str, rows: DataFrame, expected: int | None = None) -> DataFrame:
+        """A new version with these rows only.
+
+        It is a conflict if the table has moved on from ``expected``, or from where it
+        was when the call began.
         """
-        current = self._current_folder("product_metrics")
-        if not self.buckets or current is None:
-            return self.replace("product_metrics", fold_metrics(self.read("product_metrics"), prices))
-        touched = prices.select(self._bucket()).distinct()
-        schema = TABLES["product_metrics"]
-        stored = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
-        known = stored.parquet(current[1]).join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")
-        self._write_buckets(staged(fold_metrics(known, prices), "metrics-stage"), current[1])
-        return self.read("product_metrics")
+        base = self._checked(table, self.version(table))
+        if expected is not None and base.number != expected:
+            raise ConflictError(f"{table} is at version {base.number}, not {expected}")
+        new = base.after(None, self._written(table, conform(rows, table), base.number + 1), None)
+        self.log(table).publish(new)
+        return self.at(table, new)
+
+    def update(
+        self,
+        table: str,
+        change: Callable[[DataFrame], DataFrame],
+        touched: DataFrame | None = None,
+        source: Source | None = None,
+    ) -> DataFrame:
+        """The table after ``change``, a function from its rows to its new rows.
+
+        With ``touched``, rows that name the partitions concerned, ``change`` gets and
+        gives only those.  If another writer publishes first, this one's folders are
+        published after it where the partitions are others, and computed anew where
+        they are not.  A ``source`` that has been applied adds no version.
+        """
+        log = self.log(table)
+        parts = self.parts_of(table, touched) if touched is not None else None
+        for _ in range(ATTEMPTS):
+            base = self._checked(table, log.latest())
+            if base.has(source):
+                return self.at(table, base)
+            folders = self._written(table, conform(change(self.at(table, base, parts)), table), base.number + 1)
+            now = base  # partitions that the change has emptied have no folder
+            while now.same(base, parts) and not now.has(source):
+                new = now.after(parts, folders, source)
+                try:
+                    log.publish(new)
+                    return self.at(table, new)
+                except ConflictError:
+                    now = self._checked(table, log.latest())
+        raise ConflictError(f"{table} was changed by others {ATTEMPTS} times")
 
     def create_missing(self) -> None:
         """Publish empty tables for those that do not exist yet."""
-        for table, schema in TABLES.items():
-            if not self.exists(table) and table in ("price_history", "products"):
-                folder = f"{self.root}/{table}/v000000"
-                writer = empty_table(self.spark, schema).write.mode("overwrite")
-                (writer.partitionBy("date") if table == "price_history" else writer).parquet(folder)
-                self._publish(table, 0, folder)
-
-    def merge_history(self, new: DataFrame, arrival: str = ARRIVAL) -> DataFrame:
-        """Replace the dates of a batch by their merge with what is stored.
-
-        The merge is staged first: if the swap of partitions is interrupted, the
-        same batch can be run again, since keep-last is idempotent.
-        """
-        self.create_missing()
-        _, folder = self._current_folder("price_history")
-        touched = new.select("date").distinct()
-        stored = self.read("price_history").join(touched, "date", "left_semi")
-        stage = scratch_path(self.spark, "history-stage")
-        upsert_history(stored, new, arrival).write.parquet(stage)
-        merged = self.spark.read.schema(PRICE_HISTORY).parquet(stage)
-        # a range sort splits a date that holds much of the batch over several files
-        (
-            merged.orderBy(*SORT_ORDER["price_history"])
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("date")
-            .parquet(folder)
-        )
-        return self.read("price_history")
+        for table in ("price_history", "products"):
+            if not self.exists(table):
+                try:
+                    self.log(table).publish(Version(0))
+                except ConflictError:  # another one has, meanwhile
+                    pass
+
+    def merge_history(self, new: DataFrame, arrival: str = ARRIVAL, source: Source | None = None) -> DataFrame:
+        """The history after a batch: of its dates, the last row per product, vendor and category."""
+        return self.update("price_history", lambda stored: upsert_history(stored, new, arrival), new, source)
+
+    def merge_products(self, records: DataFrame, arrival: str = ARRIVAL, source: Source | None = None) -> DataFrame:
+        """The registry after ingested records: the last one per product and vendor."""
+        rows = product_rows(records).select(*TABLES["products"].fieldNames(), arrival)
+        return self.update("products", lambda stored: upsert_registry(stored, rows, arrival), rows.dropna(subset=PRODUCT_KEY), source)
+
+    def fold_metrics(self, prices: DataFrame, source: Source | None = None) -> DataFrame:
+        """The bounds after a batch of prices."""
+        return self.update("product_metrics", lambda stored: fold_metrics(stored, prices), prices, source)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete folders that none of each table's newest ``keep`` versions names."""
+        return sum(self.log(table).vacuum(keep) for table in TABLES if self.exists(table))
 
 
 def export_csv(rows: DataFrame, path: str, order: list[str]) -> None:
