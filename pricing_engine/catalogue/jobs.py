@@ -14,7 +14,8 @@ from pricing_engine.operators import history as H
 from pricing_engine.operators import ingest as I
 from pricing_engine.operators.metrics import fold_metrics, group_metrics
 from pricing_engine.operators.numbering import number_rows
-from pricing_engine.plans.jobs import daily_run, ingest_payloads, rejects_by_reason
+from pricing_engine.plans.jobs import daily_run, ingest_payloads, log_run, rejects_by_reason
+from pricing_engine.plans.views import refresh_views
 from pricing_engine.schemas import PAYLOADS
 from pricing_engine.session import scratch_path, staged
 from pricing_engine.sources import sample_tables as T
@@ -144,6 +145,23 @@ def streamed_registry(spark: SparkSession, sf: str) -> DataFrame:
     return _streamed(spark, sf, "products")
 
 
+def _kept_views(spark: SparkSession, sf: str) -> TableStore:
+    """A store whose views have followed three batches of observations."""
+    store = _store(spark, buckets=8)
+    store.replace("product_match", T.membership(spark, sf))
+    for lines in _by_arrival(spark, sf, 3):
+        refresh_views(store, T.observations(spark, sf, lines))
+    return store
+
+
+def incremental_lists(spark: SparkSession, sf: str) -> DataFrame:
+    return _kept_views(spark, sf).read("category_lists")
+
+
+def incremental_members(spark: SparkSession, sf: str) -> DataFrame:
+    return _kept_views(spark, sf).read("group_members")
+
+
 def _landed(spark: SparkSession, sf: str) -> DataFrame:
     """Responses as they land: arrival numbers become places in the run."""
     path = scratch_path(spark, "landed")
@@ -166,6 +184,14 @@ def daily_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return rejects_by_reason(staged(found.rejects, "rejects"))
 
 
+def run_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """What such a run counts while it parses, merges and filters."""
+    store = _store(spark)
+    ingested = ingest_payloads(store, _landed(spark, sf), CONFIG, READERS, AS_OF)
+    log_run(store, AS_OF, ingested.counters)
+    return store.read("run_log")
+
+
 QUERIES: dict[str, Query] = {
     "src_1_history_csv": history_csv,
     "src_2_products_scan": products_scan,
@@ -178,8 +204,11 @@ QUERIES: dict[str, Query] = {
     "snk_4_bucketed_metrics": bucketed_metrics,
     "snk_2_interleaved_writers": interleaved_writers,
     "snk_5_group_bounds_versions": group_bounds_versions,
+    "out_1_incremental_lists": incremental_lists,
+    "win_1_incremental_members": incremental_members,
     "str_1_stream_history": streamed_history,
     "str_1_stream_registry": streamed_registry,
     "pip_1_daily_history": daily_history,
     "pip_1_daily_rejects": daily_rejects,
+    "pip_1_run_counters": run_counters,
 }

@@ -179,6 +179,12 @@ def products_with_max(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nested_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups with their members inside, the array as JSON text."""
+    nested = D.nested_groups(_groups(spark, sf), _members(spark, sf))
+    return nested.withColumn("members", F.to_json("members", {"ignoreNullFields": "false"}))
+
+
 QUERIES: dict[str, Query] = {
     "src_1_price_history": scan_history,
     "src_2_products": T.products,
@@ -214,6 +220,7 @@ QUERIES: dict[str, Query] = {
     "out_2_groups": _groups,
     "out_2_groups_from_tables": groups_from_tables,
     "out_2_members": _members,
+    "out_2_nested_groups": nested_groups,
     "out_3_category": lambda s, d: D.category_page(_groups(s, d), ONE_CATEGORY),
     "out_4_history_texts": lambda s, d: D.history_texts(
         H.product_history(T.price_history(s, d), ONE_PRODUCT, ONE_VENDOR)

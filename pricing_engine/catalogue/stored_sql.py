@@ -229,6 +229,14 @@ ORACLES: dict[str, str] = {
     "out_2_groups": _with(DASHBOARD, "SELECT * FROM groups"),
     "out_2_groups_from_tables": _with(DASHBOARD, "SELECT * FROM groups"),
     "out_2_members": _with(DASHBOARD, "SELECT * FROM members"),
+    "out_2_nested_groups": _with(
+        DASHBOARD,
+        """SELECT *, CAST(0 AS INTEGER) AS chunk FROM groups JOIN (
+             SELECT group_id, CAST(to_json(list(struct_pack(product_id, vendor, product_name, current_price,
+                      last_seen_date, max_price, min_price, last_updated)
+                    ORDER BY coalesce(nullif(current_price, 0), 999), vendor, product_id)) AS VARCHAR) AS members
+             FROM members GROUP BY group_id) USING (group_id)""",
+    ),
     "out_3_category": _with(DASHBOARD, f"SELECT * FROM groups WHERE category = '{ONE_CATEGORY}'"),
     "out_4_history_texts": _with(
         HISTORY,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pricing_engine.operators.history import HISTORY_KEY
@@ -42,3 +42,20 @@ def filter_report(before: DataFrame, after: DataFrame) -> DataFrame:
     return original.join(kept, "category", "left").select(
         "category", "original", n_kept.alias("kept"), (F.col("original") - n_kept).alias("removed")
     )
+
+
+class Counters:
+    """Counts that the jobs of a run take on their way, without a pass of their own."""
+
+    def __init__(self) -> None:
+        self._seen: list[tuple[str, Observation]] = []
+
+    def over(self, counted: DataFrame, step: str, **counts: Column) -> DataFrame:
+        """``counted``, whose next use also takes ``counts``; it must be written or collected."""
+        seen = Observation()
+        self._seen.append((step, seen))
+        return counted.observe(seen, *[c.alias(name) for name, c in counts.items()])
+
+    def rows(self) -> list[tuple[str, str, int]]:
+        """(step, counter, value) of all that was counted."""
+        return [(step, name, int(value or 0)) for step, seen in self._seen for name, value in seen.get.items()]

@@ -59,25 +59,27 @@ def analyse_snapshot(
     Equals ``analyse_groups`` on fresh metrics as long as each group has one name
     and one category.
     """
+    members = membership.select("group_id", "group_name", "category", *PRODUCT_KEY)
+    return analyse_members(members.join(snapshot.drop("category"), PRODUCT_KEY), precedence)
+
+
+def analyse_members(members: DataFrame, precedence: str = "cheapest_first") -> DataFrame:
+    """The same from members with their bounds and, where known, their current price."""
     order = F.struct("current_price", -F.unix_date("last_seen_date"), "vendor", "product_id")
-    groups = (
-        membership.select("group_id", "group_name", "category", *PRODUCT_KEY)
-        .join(snapshot.drop("category"), PRODUCT_KEY)
-        .groupBy("group_id", "group_name", "category")
-        .agg(
-            F.max("max_price").alias("max_price"),
-            F.min("min_price").alias("min_price"),
-            F.min_by(F.struct("vendor", "current_price"), order).alias("best"),
-        )
-        .select(
-            "group_id",
-            "group_name",
-            "category",
-            "max_price",
-            "min_price",
-            F.col("best.vendor").alias("best_vendor"),
-            F.col("best.current_price").alias("current_price"),
-        )
+    priced = F.when(F.col("current_price").isNotNull(), order)
+    groups = members.groupBy("group_id", "group_name", "category").agg(
+        F.max("max_price").alias("max_price"),
+        F.min("min_price").alias("min_price"),
+        F.min_by(F.struct("vendor", "current_price"), priced).alias("best"),
+    )
+    groups = groups.select(
+        "group_id",
+        "group_name",
+        "category",
+        "max_price",
+        "min_price",
+        F.col("best.vendor").alias("best_vendor"),
+        F.col("best.current_price").alias("current_price"),
     )
     return _judged(groups, precedence)
 

@@ -1,7 +1,7 @@
 """Dashboard tables: one row per group, one row per member, and the searches.
 
-Members stay a table of their own.  Nesting them in the group row would gather
-all members of a group in one place, which a very large group does not survive.
+Members are a table of their own, or nested in numbered chunks of bounded size: a
+group with very many members is several rows, and none of them gathers it whole.
 """
 
 from __future__ import annotations
@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from pricing_engine.functions import scoring as S
 from pricing_engine.functions.text import category_label, money_text
 from pricing_engine.operators.history import PRODUCT_KEY
+from pricing_engine.operators.numbering import number_rows
 from pricing_engine.plans.analysis import TOP_K, top_per_category
+from pricing_engine.session import staged
 
 # Fixed value: the price that a member without one sorts by
 NO_PRICE_RANK = 999
 
+CHUNK = 1_000  # members of one array
+_MEMBER = [*PRODUCT_KEY, "product_name", "current_price", "last_seen_date", "max_price", "min_price", "last_updated"]
+
 
 def dashboard_members(
     membership: DataFrame, latest: DataFrame, metrics: DataFrame, products: DataFrame | None = None
@@ -46,6 +51,27 @@ def ordered_members(members: DataFrame) -> DataFrame:
     return members.orderBy(*member_order())
 
 
+def nested_members(members: DataFrame, size: int = CHUNK) -> DataFrame:
+    """group_id, chunk (from 0) and members, an array of up to ``size`` in stored order.
+
+    Members are numbered over all groups at once, range by range, and chunks follow from
+    the distance to the group's first number.
+    """
+    price = F.coalesce(F.nullif("current_price", F.lit(0.0)), F.lit(float(NO_PRICE_RANK)))
+    numbered = number_rows(members.withColumn("_price", price), ["group_id", "_price", "vendor", "product_id"], 0, "_place")
+    numbered = staged(numbered.drop("_price"), "members")
+    first = numbered.groupBy("group_id").agg(F.min("_place").alias("_first"))
+    chunk = F.expr(f"CAST((_place - _first) DIV {size} AS INT)").alias("chunk")
+    placed = numbered.join(first, "group_id").select("group_id", chunk, F.struct("_place", *_MEMBER).alias("member"))
+    nested = placed.groupBy("group_id", "chunk").agg(F.sort_array(F.collect_list("member")).alias("members"))
+    return nested.withColumn("members", F.transform("members", lambda m: m.dropFields("_place")))
+
+
+def nested_groups(groups: DataFrame, members: DataFrame, size: int = CHUNK) -> DataFrame:
+    """The dashboard's groups with their members inside: a row for every chunk of them."""
+    return groups.join(nested_members(members, size), "group_id")
+
+
 def snapshot_members(membership: DataFrame, snapshot: DataFrame) -> DataFrame:
     """Every member with its group's name and category and all that the snapshot knows of it.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pricing_engine.functions.scoring import DEFAULT_MIN_SCORE
 from pricing_engine.operators import ingest
-from pricing_engine.operators.groups import has_unmatched_products
+from pricing_engine.operators.groups import has_unmatched_products, unmatched_products
 from pricing_engine.operators.history import (
     ARRIVAL,
     ARRIVAL_TYPE,
@@ -19,7 +19,10 @@ from pricing_engine.operators.history import (
 )
 from pricing_engine.operators.matching import assign_best, assign_reviewed, new_review_queue, review_queue
 from pricing_engine.operators.metrics import check_groups, group_metrics
+from pricing_engine.operators.quality import Counters
 from pricing_engine.plans.analysis import analyse_groups, category_lists
+from pricing_engine.plans.views import refresh_groups, refresh_views
+from pricing_engine.schemas import TABLES
 from pricing_engine.session import staged
 from pricing_engine.sources.category_config import check_categories, config_table, fetch_targets
 from pricing_engine.sources.payloads import successful
@@ -39,6 +42,7 @@ def arrival_number() -> Column:
 class Ingested:
     records: DataFrame
     rejects: DataFrame
+    counters: Counters
 
 
 def ingest_payloads(
@@ -60,14 +64,26 @@ def ingest_payloads(
     )
     wanted = successful(payloads).join(targets, ["category", "vendor"], "left_semi")
     # payloads are parsed once; what follows reads the parsed columns
-    read = staged(ingest.normalise(wanted, readers, as_of), "parsed")
+    counters, one = Counters(), F.lit(1)
+    parsed = ingest.normalise(wanted, readers, as_of)
+    parsed = counters.over(parsed, "parse", rows=F.count(one), rejected=F.count(ingest.reject_reason()))
+    read = staged(parsed, "parsed")
     good, bad = ingest.split_rejects(read)
     hits = ingest.first_search_hits(good, list(first_hit_vendors), ["seq"])
     merged = ingest.merge_sources(hits, ["seq"]).join(targets, ["category", "vendor"])
+    merged = counters.over(merged, "merge", rows=F.count(one))
     kept = ingest.filter_terms(merged, rules).select(
         *ingest.RECORD, arrival_number().alias(ARRIVAL)
     )
-    return Ingested(staged(kept, "records"), bad)
+    kept = counters.over(kept, "filter", rows=F.count(one))
+    return Ingested(staged(kept, "records"), bad, counters)
+
+
+def log_run(store: TableStore, run: str, counters: Counters) -> None:
+    """Append what a run has counted to the run log."""
+    rows = [(run, *row) for row in counters.rows()]
+    new = store.spark.createDataFrame(rows, TABLES["run_log"])
+    store.update("run_log", lambda stored: stored.unionByName(new))
 
 
 def store_records(store: TableStore, records: DataFrame) -> None:
@@ -132,22 +148,33 @@ def daily_run(
     decisions: DataFrame | None = None,
     min_score: float = DEFAULT_MIN_SCORE,
     new_decisions: DataFrame | None = None,
+    incremental: bool = False,
     **limits: Any,
 ) -> DataFrame:
     """Ingest, store, match if anything is new, update the metrics, analyse.
 
-    Without payloads the metrics are refreshed from the stored history.
+    Without payloads the metrics are refreshed from the stored history.  An incremental
+    run keeps stored views and reads the lists from them: what no record touches is
+    neither read nor written.  Its store has had incremental runs only.
     """
     store.create_missing()
     records = None
     if payloads is not None:
         ingested = ingest_payloads(store, payloads, config, readers, as_of, **limits)
+        log_run(store, as_of, ingested.counters)
         if not ingested.records.isEmpty():
             records = ingested.records
             store_records(store, records)
+    if not incremental:
+        match_products(store, decisions, min_score, new_decisions)
+        update_metrics(store, records)
+        return analyse(store)
+    unplaced = staged(unmatched_products(store.read("products"), store.read("product_match")), "unplaced")
     match_products(store, decisions, min_score, new_decisions)
-    update_metrics(store, records)
-    return analyse(store)
+    if records is not None:
+        refresh_views(store, records)
+    refresh_groups(store, unplaced)
+    return store.read("category_lists")
 
 
 def rejects_by_reason(rejects: DataFrame) -> DataFrame:

@@ -28,6 +28,20 @@ PRODUCT_MATCH = _struct(
 GROUP_METRICS = _struct(
     group_id=_L, group_name=_S, category=_S, max_price=_D, min_price=_D, last_updated=_DATE
 )
+# views that the engine keeps beside its tables
+LATEST_PRICES = _struct(product_id=_S, vendor=_S, current_price=_D, last_seen_date=_DATE, category=_S)
+GROUP_MEMBERS = _struct(
+    group_id=_L, group_name=_S, category=_S, product_id=_S, vendor=_S, product_name=_S,
+    current_price=_D, last_seen_date=_DATE, max_price=_D, min_price=_D, last_updated=_DATE,
+)
+GROUP_OFFERS = _struct(
+    group_id=_L, group_name=_S, category=_S, current_price=_D, best_vendor=_S, discount=_D, status=_S
+)
+CATEGORY_LISTS = _struct(
+    category=_S, list_name=_S, rank=T.IntegerType(), group_id=_L, group_name=_S, current_price=_D,
+    best_vendor=_S, discount=_D, status=_S,
+)
+RUN_LOG = _struct(run=_S, step=_S, counter=_S, value=_L)
 CATEGORY_CONFIG = _struct(
     position=T.IntegerType(),
     category=_S,
@@ -62,6 +76,11 @@ TABLES = {
     "product_metrics": PRODUCT_METRICS,
     "product_match": PRODUCT_MATCH,
     "grouped_product_metrics": GROUP_METRICS,
+    "latest_prices": LATEST_PRICES,
+    "group_members": GROUP_MEMBERS,
+    "group_offers": GROUP_OFFERS,
+    "category_lists": CATEGORY_LISTS,
+    "run_log": RUN_LOG,
 }
 
 # what the partitions of a stored table follow: the date itself, or a hash into buckets
@@ -69,6 +88,11 @@ PARTITIONED_BY = {
     "price_history": ["date"],
     "products": ["product_id", "vendor"],
     "product_metrics": ["product_id", "vendor"],
+    "product_match": ["product_id", "vendor"],
+    "latest_prices": ["product_id", "vendor"],
+    "group_members": ["group_id"],
+    "group_offers": ["category"],
+    "category_lists": ["category"],
 }
 
 # the order in which each stored table, or each partition of it, is written
@@ -78,6 +102,11 @@ SORT_ORDER = {
     "product_metrics": ["vendor", "product_id"],
     "product_match": ["category", "group_id", "vendor", "product_id"],
     "grouped_product_metrics": ["group_id"],
+    "latest_prices": ["vendor", "product_id"],
+    "group_members": ["group_id", "vendor", "product_id"],
+    "group_offers": ["category", "current_price", "group_name", "best_vendor", "group_id"],
+    "category_lists": ["category", "list_name", "rank", "current_price", "group_name", "best_vendor", "group_id"],
+    "run_log": ["run", "step", "counter"],
 }
 
 

@@ -88,6 +88,10 @@ class TableStore:
             raise FileNotFoundError(f"table {table} does not exist below {self.root}")
         return self.at(table, version)
 
+    def read_for(self, table: str, rows: DataFrame) -> DataFrame:
+        """The partitions of a table that could hold partners of ``rows``."""
+        return self.at(table, self._checked(table, self.version(table)), self.parts_of(table, rows))
+
     def _checked(self, table: str, version: Version) -> Version:
         """The version, if it is dealt into as many buckets as this store's."""
         own = self.buckets if self.partition(table) and PARTITIONED_BY[table] != ["date"] else 0
