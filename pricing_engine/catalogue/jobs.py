@@ -9,12 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricing_engine.catalogue.names import AS_OF, CONFIG, json_payloads
-from pricing_engine.catalogue.stored import Query
+from pricing_engine.catalogue.stored import ONE_CATEGORY, ONE_PRODUCT, ONE_VENDOR, Query
 from pricing_engine.operators import history as H
 from pricing_engine.operators import ingest as I
 from pricing_engine.operators.metrics import fold_metrics, group_metrics
 from pricing_engine.operators.numbering import number_rows
-from pricing_engine.plans.jobs import daily_run, ingest_payloads, log_run, rejects_by_reason
+from pricing_engine.plans.dashboard import snapshot_members
+from pricing_engine.plans.jobs import (
+    daily_run,
+    ingest_payloads,
+    log_run,
+    rejects_by_reason,
+    store_records,
+    update_metrics,
+)
+from pricing_engine.plans.serving import keep_series, publish_groups, served_history, served_page
 from pricing_engine.plans.views import refresh_views
 from pricing_engine.schemas import PAYLOADS
 from pricing_engine.session import scratch_path, staged
@@ -184,6 +193,39 @@ def daily_rejects(spark: SparkSession, sf: str) -> DataFrame:
     return rejects_by_reason(staged(found.rejects, "rejects"))
 
 
+def served_category(spark: SparkSession, sf: str) -> DataFrame:
+    """One category's groups, read from the bucket that the run has written."""
+    store = _store(spark, buckets=8)
+    snapshot = H.product_snapshot(T.price_history(spark, sf))
+    publish_groups(store, snapshot_members(T.membership(spark, sf), snapshot))
+    return served_page(store, ONE_CATEGORY)
+
+
+def served_series(spark: SparkSession, sf: str) -> DataFrame:
+    """One product's prices, read from the bucket that three batches have filled."""
+    store = _store(spark, buckets=8)
+    for lines in _by_arrival(spark, sf, 3):
+        keep_series(store, T.observations(spark, sf, lines))
+    return served_history(store, ONE_PRODUCT, ONE_VENDOR)
+
+
+def metrics_only(spark: SparkSession, sf: str) -> DataFrame:
+    """Bounds refreshed from the newest stored date, without new records."""
+    store = _store(spark, buckets=8, history_by="month")
+    store.merge_history(T.observations(spark, sf))
+    update_metrics(store)
+    return store.read("product_metrics")
+
+
+def daily_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The bounds after a run over the landed responses of two vendors."""
+    store = _store(spark, buckets=8)
+    found = ingest_payloads(store, _landed(spark, sf), CONFIG, READERS, AS_OF)
+    store_records(store, found.records)
+    update_metrics(store, found.records)
+    return store.read("product_metrics")
+
+
 def run_counters(spark: SparkSession, sf: str) -> DataFrame:
     """What such a run counts while it parses, merges and filters."""
     store = _store(spark)
@@ -211,4 +253,8 @@ QUERIES: dict[str, Query] = {
     "pip_1_daily_history": daily_history,
     "pip_1_daily_rejects": daily_rejects,
     "pip_1_run_counters": run_counters,
+    "pip_1_daily_metrics": daily_metrics,
+    "pip_2_metrics_only": metrics_only,
+    "out_3_served_category": served_category,
+    "flt_7_served_history": served_series,
 }

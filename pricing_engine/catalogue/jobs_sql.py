@@ -77,6 +77,19 @@ ORACLES: dict[str, str] = {
         f"""{_MERGED}
         SELECT date, product_id, vendor, category, price FROM merged WHERE {_KEPT}""",
     ),
+    "out_3_served_category": STORED["out_3_category"],
+    "flt_7_served_history": STORED["flt_7_product_history"],
+    "pip_2_metrics_only": _with(
+        HISTORY,
+        """SELECT product_id, vendor, max(price) AS max_price, min(price) AS min_price, max(date) AS last_updated
+           FROM history WHERE date = (SELECT max(date) FROM history) GROUP BY ALL""",
+    ),
+    "pip_1_daily_metrics": _recursive(
+        JSON_ROWS,
+        f"""{_MERGED}
+        SELECT product_id, vendor, max(price) AS max_price, min(price) AS min_price, max(date) AS last_updated
+        FROM merged WHERE {_KEPT} GROUP BY ALL""",
+    ),
     "pip_1_run_counters": _recursive(
         JSON_ROWS,
         f"""{_MERGED}

@@ -41,6 +41,10 @@ CATEGORY_LISTS = _struct(
     category=_S, list_name=_S, rank=T.IntegerType(), group_id=_L, group_name=_S, current_price=_D,
     best_vendor=_S, discount=_D, status=_S,
 )
+DASHBOARD_GROUPS = _struct(
+    group_id=_L, group_name=_S, category=_S, current_price=_D, best_vendor=_S, group_max_price=_D, group_min_price=_D,
+    last_updated=_DATE, n_members=_L, is_multi=T.BooleanType(), discount=_D, status=_S,
+)
 RUN_LOG = _struct(run=_S, step=_S, counter=_S, value=_L)
 CATEGORY_CONFIG = _struct(
     position=T.IntegerType(),
@@ -81,6 +85,8 @@ TABLES = {
     "group_offers": GROUP_OFFERS,
     "category_lists": CATEGORY_LISTS,
     "run_log": RUN_LOG,
+    "price_series": PRICE_HISTORY,
+    "dashboard_groups": DASHBOARD_GROUPS,
 }
 
 # what the partitions of a stored table follow: the date itself, or a hash into buckets
@@ -93,6 +99,8 @@ PARTITIONED_BY = {
     "group_members": ["group_id"],
     "group_offers": ["category"],
     "category_lists": ["category"],
+    "price_series": ["product_id", "vendor"],
+    "dashboard_groups": ["category"],
 }
 
 # the order in which each stored table, or each partition of it, is written
@@ -107,6 +115,8 @@ SORT_ORDER = {
     "group_offers": ["category", "current_price", "group_name", "best_vendor", "group_id"],
     "category_lists": ["category", "list_name", "rank", "current_price", "group_name", "best_vendor", "group_id"],
     "run_log": ["run", "step", "counter"],
+    "price_series": ["vendor", "product_id", "date", "category"],
+    "dashboard_groups": ["category", "group_name", "group_id"],
 }
 
 

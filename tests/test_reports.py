@@ -3,9 +3,11 @@
 import datetime
 import json
 
+from pyspark.sql import functions as F
+
 from pricing_engine.operators import ingest as I
 from pricing_engine.plans import dashboard as D
-from pricing_engine.plans import jobs
+from pricing_engine.plans import jobs, serving
 from pricing_engine.schemas import GROUP_MEMBERS, PAYLOADS
 from pricing_engine.sources.sinks import TableStore
 
@@ -27,6 +29,22 @@ def test_members_in_chunks(spark):
     assert D.nested_members(members.limit(0)).isEmpty()
 
 
+def test_requests_read_one_bucket(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "store"), buckets=16)
+    rows = [(g, f"g{g}", f"c{g % 40}", f"p{g}", "v", "n", 1.0 + g, DAY, 9.0 + g, 1.0, DAY) for g in range(400)]
+    members = spark.createDataFrame(rows, GROUP_MEMBERS)
+    serving.publish_groups(store, members)
+    page = serving.served_page(store, "c7")
+    assert len(page.inputFiles()) == 1 and {r.group_id for r in page.collect()} == set(range(7, 400, 40))
+    assert serving.served_page(store, "unknown").isEmpty()
+    prices = members.selectExpr("last_seen_date AS date", "product_id", "vendor", "category", "current_price AS price", "CAST(group_id AS DECIMAL(38,0)) AS arrival")
+    for day in (0, 1):
+        serving.keep_series(store, prices.withColumn("date", F.date_add("date", day)))
+    series = serving.served_history(store, "p9", "v")
+    assert len(series.inputFiles()) == 1 and [r.price for r in series.collect()] == [10.0, 10.0]
+    assert serving.served_history(TableStore(spark, str(tmp_path / "none"), buckets=4), "p", "v").isEmpty()
+
+
 def payloads(spark, n):
     rows = [("a", "tissue", "search", "t", i, 200, None, None, None, json.dumps({"id": str(i % 5), "name": "Tissue" if i % 3 else "Towel", **({"price": 1.0} if i % 4 else {})})) for i in range(n)]
     return spark.createDataFrame(rows, PAYLOADS)
