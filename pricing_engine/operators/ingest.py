@@ -213,31 +213,56 @@ def first_search_hits(records: DataFrame, vendors: list[str], arrival: list[str]
     return records.where(~F.coalesce(repeats, F.lit(False))).unionByName(once)
 
 
+def _chained(waiting: DataFrame) -> DataFrame:
+    """(_id, _root, _flips): where chains of ``_id`` to ``_to`` end, and whether over an odd number of steps.
+
+    Every round doubles the steps that a row looks ahead, so a chain of n takes log n.
+    """
+    rows = staged(waiting.select("_id", F.col("_to").alias("_root"), F.lit(True).alias("_flips")), "chains")
+    while True:
+        ahead = rows.select(F.col("_id").alias("_root"), F.col("_root").alias("_next"), F.col("_flips").alias("_more"))
+        both = rows.join(ahead, "_root", "left")
+        further = F.coalesce(F.col("_flips") != F.col("_more"), F.col("_flips"))
+        moved = F.col("_next").isNotNull()
+        rows = staged(both.select("_id", F.coalesce("_next", "_root").alias("_root"), further.alias("_flips"), moved.alias("_moved")), "chains")
+        if rows.where("_moved").isEmpty():
+            return rows.drop("_moved")
+        rows = rows.drop("_moved")
+
+
 def _needed_fetches(direct: DataFrame, arrival: list[str]) -> DataFrame:
     """Direct fetches whose raw identifier no earlier needed fetch of the run has given.
 
-    A fetch is needed or not once that is settled for the earlier ones that gave its
-    identifier.  Each round settles the first open fetch of every chain of such
-    dependences; nearly all pages answer with the identifier asked for, which takes
-    one round or two.
+    A fetch with no open fetch before it that gives its identifier is settled at once.
+    One that waits for a single other is needed if that one is not, so chains of these
+    are followed to their ends by doubling.  What waits for several waits for the next
+    round, which carries identifiers of open fetches only.
     """
-    order = F.struct(*arrival)
     scope = ["category", "vendor"]
-    rows = staged(direct.withColumns({"_order": order, "_needed": F.lit(None).cast("boolean")}), "fetches")
+    rows = staged(direct.withColumns({"_order": F.struct(*arrival), "_id": F.monotonically_increasing_id()}), "fetches")
+    asks, gives = F.col("requested_product_id").alias("_asks"), F.col("product_id").alias("_gives")
+    left = rows.select(*scope, "_id", "_order", asks, gives)
+    needed = left.where("false")
     while True:
-        given = rows.groupBy(*scope, F.col("product_id").alias("requested_product_id")).agg(
-            F.min(F.when(F.col("_needed"), F.col("_order"))).alias("_given"),
-            F.min(F.when(F.col("_needed").isNull(), F.col("_order"))).alias("_open"),
+        known = needed.groupBy(*scope, F.col("_gives").alias("_asks")).agg(F.min("_order").alias("_given"))
+        openly = left.groupBy(*scope, F.col("_gives").alias("_asks")).agg(
+            F.min("_order").alias("_open"), F.count("*").alias("_givers"), F.min("_id").alias("_to")
         )
+        joined = left.join(known, [*scope, "_asks"], "left").join(openly, [*scope, "_asks"], "left")
         late = F.coalesce(F.col("_order") > F.col("_given"), F.lit(False))
         waits = F.coalesce(F.col("_order") > F.col("_open"), F.lit(False))
-        settled = F.when(late, False).when(~waits, True)
-        joined = rows.join(given, [*scope, "requested_product_id"], "left")
-        rows = staged(
-            joined.withColumn("_needed", F.coalesce("_needed", settled)).select(rows.columns), "fetches"
-        )
-        if rows.where(F.col("_needed").isNull()).isEmpty():
-            return rows.where("_needed").drop("_order", "_needed")
+        judged = joined.withColumn("_needed", F.when(late, False).when(~waits, True))
+        judged = staged(judged.select(left.columns + ["_needed", "_givers", "_to"]), "judged")
+        single = judged.where(F.col("_needed").isNull() & (F.col("_givers") == 1))
+        if not single.isEmpty():
+            ends = judged.where(F.col("_needed").isNotNull()).select(F.col("_id").alias("_root"), F.col("_needed").alias("_end"))
+            told = _chained(single).join(ends, "_root").select("_id", (F.col("_end") != F.col("_flips")).alias("_told"))
+            judged = judged.join(told, "_id", "left").withColumn("_needed", F.coalesce("_needed", "_told"))
+        judged = staged(judged.select(left.columns + ["_needed"]), "judged")
+        needed = needed.unionByName(judged.where("_needed").select(left.columns))
+        left = judged.where(F.col("_needed").isNull()).select(left.columns)
+        if left.isEmpty():
+            return rows.join(needed.select("_id"), "_id", "left_semi").drop("_order", "_id")
 
 
 def merge_sources(records: DataFrame, arrival: list[str]) -> DataFrame:

@@ -212,3 +212,30 @@ def test_a_fetch_dropped_as_redundant_gives_nothing(spark):
     rows += [record(4, "B", "specific", "A"), record(5, "C", "specific", "B"), record(6, "D", "specific", "C"), record(7, "E", "specific", None)]
     got = I.merge_sources(spark.createDataFrame(rows, schema), ["seq"]).collect()
     assert {(r.product_id, r.seq) for r in got} == {("X", 1), ("Y", 3), ("B", 4), ("D", 6), ("E", 7)}
+
+
+def test_long_chains_of_fetches(spark, monkeypatch):
+    """Chains, repeats and several givers, against fetching one by one; a chain takes few rounds."""
+    import random
+
+    from pricing_engine.operators import ingest
+
+    random.seed(2)
+    pairs = [(f"c{i}", f"c{i + 1}") for i in range(300)]
+    pairs += [(f"x{random.randrange(30)}", f"x{random.randrange(30)}") for _ in range(200)] + [(None, "c7"), ("c7", "c7")]
+    random.shuffle(pairs[300:])
+    given, want = set(), []
+    for n, (asked, got) in enumerate(pairs):
+        if asked is None or asked not in given:
+            given.add(got)
+            want.append(n)
+    schema = "category string, vendor string, requested_product_id string, product_id string, seq long"
+    rows = spark.createDataFrame([("c", "v", a, g, n) for n, (a, g) in enumerate(pairs)], schema)
+    writes = []
+    monkeypatch.setattr(ingest, "staged", lambda df, name, whole=ingest.staged: writes.append(name) or whole(df, name))
+    assert sorted(r.seq for r in ingest._needed_fetches(rows, ["seq"]).collect()) == want
+    chains = writes.count("chains")
+    assert chains < 80
+    writes.clear()
+    only = spark.createDataFrame([("c", "v", a, g, n) for n, (a, g) in enumerate(pairs[:300])], schema)
+    assert ingest._needed_fetches(only, ["seq"]).count() == 150 and writes.count("chains") <= 11 and writes.count("judged") == 2
