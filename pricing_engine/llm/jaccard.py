@@ -24,15 +24,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from pricing_engine.llm.common import connected, fresh_name, slices
 from pricing_engine.session import staged
 
-TABLED = 1 << 19  # most frequent shingles, whose counts order them; the others come first, by hash
+TABLED = 1 << 18  # most frequent shingles, whose counts order them; the others come first, by hash
 LEVELS = 4  # matches that a pair may have to show
 HOT = 16  # count from which a shingle's list is dealt out in parts and has a hub
-_SLICE = 2_000_000  # shingles counted at a time
+_SLICE = 600_000  # shingles counted at a time
+_BYTES = 2_000_000  # of texts taken up at a time
+_BITS = 1 << 23  # of the table that tells which texts to read again
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 
@@ -41,7 +44,7 @@ class _WordHashes(dict):
     """Hashes of words, kept for words to come."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 50_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word, 11)
         return value
@@ -76,7 +79,7 @@ def _over_sets(rows: DataFrame, width: int, schema: StructType | str, make: _Mak
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for whole in batches:
-            for batch in slices(whole, whole.schema.names[0]):
+            for batch in slices(whole, whole.schema.names[0], _BYTES):
                 yield from make(batch, [shingle_set(t, width, hashes) for t in batch.column(0).to_pylist()])
 
     return rows.mapInArrow(run, schema)
@@ -90,31 +93,50 @@ class Order:
     ids: np.ndarray
     places: np.ndarray
     counts: np.ndarray
+    others: float = 1.0  # mean count of the shingles that are not in the table
 
     def sorted(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shingles in the order, and how often each is counted (1 for those not in the table)."""
+        """Shingles in the order, and how often each is counted, by the mean for those not in the table."""
         ids = shingles >> np.uint64(32 - self.bits)
         at = np.searchsorted(self.ids, ids)
         at[at == len(self.ids)] = 0
         tabled = self.ids[at] == ids if len(self.ids) else np.zeros(len(ids), bool)
         place = np.where(tabled, self.places[at], 0) if len(self.ids) else np.zeros(len(ids), np.int64)
         order = np.argsort(place, kind="stable")
-        counts = np.where(tabled, self.counts[at], 1) if len(self.ids) else np.ones(len(ids), np.int64)
+        counts = np.where(tabled, self.counts[at], self.others) if len(self.ids) else np.full(len(ids), self.others)
         return shingles[order], counts[order]
 
 
-def shingle_order(texts: DataFrame, width: int, tabled: int = TABLED) -> Order:
-    """Counts of all shingles over all texts, of which the table keeps the most frequent.
+def _bits(spark: SparkSession) -> int:
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(20, max(8, math.ceil(math.log2(4 * parts))))
+
+
+_PACK = "bucket int, ids binary, counts binary"
+
+
+def _scanned(rows: DataFrame, width: int, key: str, size: str) -> DataFrame:
+    """For each of ``rows`` (text as binary, then what to keep) what is kept, key and size of its set.
 
-    Slices of texts count their distinct shingles first; buckets of hashes are then
-    counted in tasks, and each gives its share of the table.  A shingle is told by 32
-    bits and its bucket's: the order needs no more.
+    Between them stand counts of shingles, by bucket, of slices of the texts.
     """
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(20, max(8, math.ceil(math.log2(4 * parts))))
+    bits, kept = _bits(rows.sparkSession), StructType([StructField(f.name, f.dataType) for f in rows.schema.fields[1:]])
+    schema = StructType([*kept.fields]).add(key, "binary").add(size, "long")
+    for field in StructType.fromDDL(_PACK).fields:
+        name = field.name
+        while name.lower() in {f.name.lower() for f in schema.fields}:
+            name += "_"
+        schema = schema.add(name, field.dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, seen = _WordHashes(), [], 0, set()
+        hashes, held, count, seen = _WordHashes(), [], 0, set()
+        empty = pa.RecordBatch.from_pylist([], to_arrow_schema(schema))
+
+        def row(columns: list[pa.Array], first: int) -> pa.RecordBatch:
+            n = len(columns[0])
+            arrays = [pa.nulls(n, f.type) for f in empty.schema]
+            arrays[first : first + len(columns)] = [c.cast(empty.schema[first + i].type) for i, c in enumerate(columns)]
+            return pa.RecordBatch.from_arrays(arrays, schema=empty.schema)
 
         def flush() -> pa.RecordBatch:
             shingles, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -127,23 +149,37 @@ def shingle_order(texts: DataFrame, width: int, tabled: int = TABLED) -> Order:
                 pa.array([low[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
                 pa.array([number[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(values, names=["bucket", "ids", "counts"])
+            return row(values, len(kept) + 2)
 
         for whole in batches:
-            for batch in slices(whole, whole.schema.names[0]):
+            for batch in slices(whole, whole.schema.names[0], _BYTES):
+                keys, sizes = [], []
                 for text in batch.column(0).to_pylist():
                     shingles = shingle_set(text, width, hashes)
-                    mark = xxhash.xxh64_intdigest(shingles.tobytes())
-                    if len(shingles) and mark not in seen:  # copies count once in a slice
-                        seen.add(mark)
+                    keys.append(xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None)
+                    sizes.append(len(shingles))
+                    if len(shingles) and keys[-1] not in seen:  # copies count once in a slice
+                        seen.add(keys[-1])
                         held.append(shingles)
-                        size += len(shingles)
-                    if size >= _SLICE:
+                        count += len(shingles)
+                    if count >= _SLICE:
                         yield flush()
-                        held, size, seen = [], 0, set()
+                        held, count, seen = [], 0, set()
+                yield row([*batch.columns[1:], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64())], 0)
         if held:
             yield flush()
 
+    return staged(rows.mapInArrow(run, schema), "scanned")
+
+
+def shingle_order(packs: DataFrame, tabled: int = TABLED) -> Order:
+    """Counts of all shingles over all texts, of which the table keeps the most frequent.
+
+    ``packs`` holds the counts of slices; buckets of hashes are counted in tasks, and
+    each gives its share of the table.  A shingle is told by 32 bits and its bucket's:
+    the order needs no more.
+    """
+    parts, bits = int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")), _bits(packs.sparkSession)
     share = max(1, tabled >> bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,9 +190,10 @@ def shingle_order(texts: DataFrame, width: int, tabled: int = TABLED) -> Order:
             total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
             kept = np.flatnonzero(total > 1)
             kept = kept[np.lexsort((known[kept], -total[kept]))[:share]]
-            values = [pa.array([bucket], pa.int32()), pa.array([known[kept].tobytes()], pa.binary()), pa.array([total[kept].tobytes()], pa.binary())]
-            if len(kept):
-                yield pa.RecordBatch.from_arrays(values, names=["bucket", "ids", "counts"])
+            rest = [len(known) - len(kept), int(total.sum() - total[kept].sum())]
+            values = [bucket, known[kept].tobytes(), total[kept].tobytes(), *rest]
+            kinds = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["bucket", "ids", "counts", "others", "counted"])
 
         for batch in batches:
             for b, i, c in zip(*(batch.column(k).to_pylist() for k in range(3))):
@@ -169,16 +206,16 @@ def shingle_order(texts: DataFrame, width: int, tabled: int = TABLED) -> Order:
         if ids:
             yield from most()
 
-    schema = "bucket int, ids binary, counts binary"
-    packs = texts.mapInArrow(run, schema).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    rows = packs.mapInArrow(count, schema).collect()  # at most ``tabled`` shingles
+    dealt = packs.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    rows = dealt.mapInArrow(count, f"{_PACK}, others long, counted long").collect()  # at most ``tabled`` shingles
     ids = np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(r.ids, "<u4").astype(np.uint64) | np.uint64(r.bucket << 32) for r in rows]])
     counts = np.concatenate([np.empty(0, np.int64), *[np.frombuffer(r.counts, "<i8") for r in rows]])
     by_id = np.argsort(ids)
     ids, counts = ids[by_id], counts[by_id]
     places = np.empty(len(ids), np.int64)
     places[np.lexsort((ids, counts))] = np.arange(1, len(ids) + 1)
-    return Order(bits, ids, places, counts)
+    others = sum(r.counted for r in rows) / max(1, sum(r.others for r in rows))
+    return Order(bits, ids, places, counts, max(1.0, others))
 
 
 @dataclass(frozen=True)
@@ -268,7 +305,7 @@ def _lists(posted: DataFrame) -> DataFrame:
     mark = F.xxhash64(*posted.columns)
     several = dealt.groupBy("token", "part").agg(F.min(mark).alias("low"), F.max(mark).alias("high"))
     rows = dealt.join(several, ["token", "part"]).filter("parts > 1 OR low <> high")
-    return staged(rows.select("token", "parts", "key", "n", "pos", "level").distinct(), "lists")
+    return staged(rows.select("token", "part", "parts", "key", "n", "pos", "level").distinct(), "lists")
 
 
 def _reach(n: str, own: str, other: str, threshold: Threshold, level: Column) -> Column:
@@ -288,37 +325,64 @@ def _hub_pairs(lists: DataFrame, threshold: Threshold) -> DataFrame:
 def _open_pairs(lists: DataFrame, roots: DataFrame, threshold: Threshold) -> DataFrame:
     """(a, b): sets of different classes that share as many shingles of their prefixes as asked for.
 
-    The larger set of a pair (by size, then key) says how many.
+    A pair comes up where the shortest prefixes for its sizes meet, and is held against
+    the longer ones at once: both are read beside it, so no list is read for more
+    matches.  The larger set of a pair (by size, then key) says how many.
     """
-    rooted = lists.join(roots, F.col("key") == F.col("node"), "left").drop("node")
-    rooted = staged(rooted.withColumn("root", F.coalesce("root", "key")), "rooted")
-    mark = F.xxhash64("root")
-    unsettled = rooted.groupBy("token").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
-    rows = rooted.join(unsettled.select("token"), "token", "left_semi")
-    small = rows.select("token", F.col("key").alias("b"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("other"))
+    shortest = F.expr(f"n - ({threshold.part} * n + {threshold.whole - 1}) DIV {threshold.whole}")
+    rows = lists.filter(F.col("pos") <= shortest).join(roots, F.col("key") == F.col("node"), "left")
+    rows = rows.select("token", "parts", "key", "n", "pos", "level", F.coalesce("root", "key").alias("root"))
+    hot, mark = staged(rows.filter("parts > 1"), "hot"), F.xxhash64("root")
+    unsettled = hot.groupBy("token").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low <> high")
+    rows = rows.filter("parts = 1").unionByName(hot.join(unsettled.select("token"), "token", "left_semi")).drop("parts")
+    small = rows.toDF("token", "b", "m", "at", "own", "other")
     larger = F.struct("n", "key") > F.struct(F.col("m").alias("n"), F.col("b").alias("key"))
-    fits = _reach("n", "pos", "m", threshold, F.col("level")) & _reach("m", "at", "n", threshold, F.col("level"))
-    pairs = rows.join(small, "token").filter(larger & (F.col("root") != F.col("other")) & threshold.sizes_fit("n", "m") & fits)
-    # the matches and what lies behind the last one in the shorter rest
-    rest = F.count("*") + F.least(F.min(F.col("n") - F.col("pos")), F.min(F.col("m") - F.col("at"))) - 1
-    shared = pairs.groupBy(F.col("key").alias("a"), "b", "n", "m", "level").agg(F.count("*").alias("matches"), rest.alias("rest"))
-    shared = shared.filter((F.col("matches") >= F.least("level", threshold.shared("n", "m"))) & (F.col("rest") >= threshold.shared("n", "m")))
-    return shared.select("a", "b")
+    meet = _reach("n", "pos", "m", threshold, F.lit(1)) & _reach("m", "at", "n", threshold, F.lit(1))
+    pairs = rows.join(small, "token").filter(larger & (F.col("root") != F.col("other")) & threshold.sizes_fit("n", "m") & meet)
+    pairs = staged(pairs.select(F.col("key").alias("a"), "b", "n", "m", "level").distinct(), "met")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    prefix = F.sort_array(F.collect_list(F.struct("pos", "token")))  # of a set's repeated shingles
+    prefixes = staged(lists.join(ends, "key", "left_semi").groupBy("key").agg(prefix.alias("prefix")), "prefixes")
+    for side in ("a", "b"):
+        pairs = pairs.join(prefixes.select(F.col("key").alias(side), F.col("prefix").alias(f"prefix_{side}")), side)
+
+    def head(side: str, n: str) -> Column:
+        end = F.col(n) - threshold.shared("n", "m") + F.col("level")
+        return F.transform(F.filter(f"prefix_{side}", lambda x: x["pos"] < end), lambda x: x["token"])
+
+    return pairs.filter(F.size(F.array_intersect(head("a", "n"), head("b", "m"))) >= F.col("level")).select("a", "b")
+
+
+def _marked(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """``texts`` (binary) whose hash may be a ``mark`` of ``needed``, by a table of bits of fixed size."""
+    place = F.pmod("mark", F.lit(_BITS))
+    bits = needed.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, int(pmod(mark, {_BITS}) & 63))").alias("bit"))
+    table = np.zeros(_BITS // 64, np.int64)
+    for word, bit in bits.groupBy("word").agg(F.bit_or("bit")).toLocalIterator():
+        table[word] = bit
+    held = texts.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(1).to_numpy() % _BITS
+            yield batch.select([0]).filter(pa.array(held.value[at >> 6] >> (at & 63) & 1 == 1))
+
+    return texts.select("text", F.xxhash64("text").alias("mark")).mapInArrow(run, "text binary")
 
 
 def _verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame, width: int, threshold: Threshold) -> DataFrame:
     """The pairs that are linked; whole sets are made again for their texts only."""
     pairs = staged(pairs, "pairs")
     keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    needed = staged(marks.join(keys, "key", "left_semi").groupBy("key").agg(F.min("mark").alias("mark")).select("mark").distinct(), "needed")
-    wanted = texts.join(needed, F.xxhash64("text") == F.col("mark"), "left_semi")
+    needed = marks.join(keys, "key", "left_semi").groupBy("key").agg(F.min("mark").alias("mark")).select("mark")
+    wanted = _marked(texts, needed)
 
     def make(batch: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         keys = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary())
         yield pa.RecordBatch.from_arrays([keys, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["key", "shingles"])
 
-    found = _over_sets(wanted.select("text"), width, "key binary, shingles array<long>", make)
-    sets = staged(found.dropDuplicates(["key"]), "sets")
+    found = _over_sets(wanted, width, "key binary, shingles array<long>", make)
+    sets = found.dropDuplicates(["key"])
     for side in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("shingles").alias(f"set_{side}")), side)
     both = pairs.select("a", "b", F.size("set_a").alias("n"), F.size("set_b").alias("m"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
@@ -339,20 +403,15 @@ def jaccard_classes(
     threshold = Threshold(part, whole)
     names = [fresh_name(docs.select(*keep), n) for n in ("n_shingles", "class_key")]
     mark, key = (fresh_name(docs.select(*keep), n) for n in ("mark", "key"))
-    raw = F.col(text).cast("binary").alias("text")
-    texts = docs.select(raw)
-    kept = docs.select(raw.alias(fresh_name(docs.select(*keep), "text_")), *keep)
-
-    def size(batch: pa.RecordBatch, sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-        columns = [*batch.columns[1:], pa.array(digests, pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[1:], key, names[0]])
-
-    known = kept.withColumn(mark, F.xxhash64(kept.columns[0]))
-    schema = StructType([*known.schema.fields[1:]]).add(key, "binary").add(names[0], "long")
-    sized = staged(_over_sets(known, width, schema, size), "sized")
+    raw = F.col(text).cast("binary")
+    texts = docs.select(raw.alias("text"))
+    first = fresh_name(docs.select(*keep), "text_")
+    scanned = _scanned(docs.select(raw.alias(first), *keep, F.xxhash64(raw).alias(mark)), width, key, names[0])
+    bucket = scanned.columns[-3]
+    sized = scanned.filter(F.col(bucket).isNull()).select(*scanned.columns[:-3])
+    packs = scanned.filter(F.col(bucket).isNotNull()).select(*scanned.columns[-3:]).toDF("bucket", "ids", "counts")
     marks = sized.select(F.col(mark).alias("mark"), F.col(key).alias("key")).filter("key IS NOT NULL")
-    lists = _lists(postings(texts, width, shingle_order(texts, width), threshold))
+    lists = _lists(postings(texts, width, shingle_order(packs), threshold))
     links = _verified(_hub_pairs(lists, threshold), marks, texts, width, threshold)
     more = _verified(_open_pairs(lists, connected(links, "a", "b"), threshold), marks, texts, width, threshold)
     roots = staged(connected(links.unionByName(more), "a", "b"), "roots")

@@ -1,9 +1,8 @@
 import numpy as np
 import plain
-import pytest
 
 import corpus_pipeline as pipeline
-from pricing_engine.llm import overlap
+from pricing_engine.llm.jaccard import jaccard_classes
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -44,17 +43,15 @@ def test_stage_on_documents(spark):
     assert kept == set(roots_of({r.doc_id: r.text for r in docs.collect()}).values())
 
 
-@pytest.mark.parametrize("most", [0, 64])
-def test_texts_alike_only_through_others(spark, monkeypatch, most):
+def test_texts_alike_only_through_others(spark):
     """Copies of a missing original, each with a word of its own replaced, and a mass of unlike ones."""
-    monkeypatch.setattr(overlap, "ALL_PAIRS", most)
     rng = np.random.default_rng(3)
     first = [f"w{i}" for i in range(120)]
     texts = [edited(rng, first, 2) for _ in range(40)] + [edited(rng, first, 8) for _ in range(40)]
     texts = dict(enumerate(" ".join(t) for t in texts))
-    found = overlap.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), keep=("doc_id",))
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     least = {}
-    rows = found.collect()
+    rows = jaccard_classes(frame, 5, 8, 10).collect()
     for r in rows:
-        least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))
-    assert {r.doc_id: least[r.root] for r in rows} == roots_of(texts)
+        least[r.class_key] = min(r.doc_id, least.get(r.class_key, r.doc_id))
+    assert {r.doc_id: least[r.class_key] for r in rows} == roots_of(texts)
