@@ -186,6 +186,11 @@ def candidate_products(spark: SparkSession, sf: str) -> DataFrame:
     return MT.expand_copies(MT.match_candidates(products, metrics), products, metrics)
 
 
+def ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of products in their order, the best one first."""
+    return MT.numbered_candidates(candidate_products(spark, sf))
+
+
 def new_review_queue(spark: SparkSession, sf: str) -> DataFrame:
     """The proposals of a first run, when no product has a group."""
     products = staged(T.products(spark, sf), "products")
@@ -450,6 +455,7 @@ QUERIES: dict[str, Query] = {
     "joi_7_scored_names": scored_names,
     "mat_1_candidates": candidates,
     "mat_1_candidate_products": candidate_products,
+    "top_8_ranked_candidates": ranked_candidates,
     "out_6_candidate_rows": candidate_rows,
     "mat_2_review_queue": review_queue,
     "mat_2_new_products": new_review_queue,
