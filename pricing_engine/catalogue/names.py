@@ -16,6 +16,7 @@ from pricing_engine.operators import matching as MT
 from pricing_engine.operators import quality as Q
 from pricing_engine.operators.history import ARRIVAL, product_snapshot
 from pricing_engine.operators.name_pairs import gated_pairs, name_features, scored_pairs
+from pricing_engine.plans.name_index import index_names, indexed_review_queue
 from pricing_engine.session import scratch_path, staged
 from pricing_engine.sources import sample_tables as T
 from pricing_engine.sources.category_config import config_summary, config_table, fetch_targets
@@ -186,6 +187,16 @@ def candidate_products(spark: SparkSession, sf: str) -> DataFrame:
     return MT.expand_copies(MT.match_candidates(products, metrics), products, metrics)
 
 
+def indexed_queue(spark: SparkSession, sf: str) -> DataFrame:
+    """The review queue of all products through a stored index of the names in groups."""
+    products, membership = _stored(spark, sf)
+    store = TableStore(spark, scratch_path(spark, "index-store"), buckets=8)
+    store.replace("product_match", membership)
+    store.replace("product_metrics", T.metrics(spark, sf))
+    index_names(store, membership)
+    return indexed_review_queue(store, products)
+
+
 def ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """All pairs of products in their order, the best one first."""
     return MT.numbered_candidates(candidate_products(spark, sf))
@@ -456,6 +467,7 @@ QUERIES: dict[str, Query] = {
     "mat_1_candidates": candidates,
     "mat_1_candidate_products": candidate_products,
     "top_8_ranked_candidates": ranked_candidates,
+    "mat_2_indexed_queue": indexed_queue,
     "out_6_candidate_rows": candidate_rows,
     "mat_2_review_queue": review_queue,
     "mat_2_new_products": new_review_queue,

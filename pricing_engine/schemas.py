@@ -45,6 +45,7 @@ DASHBOARD_GROUPS = _struct(
     group_id=_L, group_name=_S, category=_S, current_price=_D, best_vendor=_S, group_max_price=_D, group_min_price=_D,
     last_updated=_DATE, n_members=_L, is_multi=T.BooleanType(), discount=_D, status=_S,
 )
+NAME_INDEX = _struct(category=_S, brand=_S, name=_S, group_id=_L, product_id=_S, vendor=_S)
 RUN_LOG = _struct(run=_S, step=_S, counter=_S, value=_L)
 CATEGORY_CONFIG = _struct(
     position=T.IntegerType(),
@@ -85,6 +86,7 @@ TABLES = {
     "group_offers": GROUP_OFFERS,
     "category_lists": CATEGORY_LISTS,
     "run_log": RUN_LOG,
+    "name_index": NAME_INDEX,
     "price_series": PRICE_HISTORY,
     "dashboard_groups": DASHBOARD_GROUPS,
 }
@@ -101,6 +103,7 @@ PARTITIONED_BY = {
     "category_lists": ["category"],
     "price_series": ["product_id", "vendor"],
     "dashboard_groups": ["category"],
+    "name_index": ["category", "brand"],
 }
 
 # the order in which each stored table, or each partition of it, is written
@@ -117,6 +120,7 @@ SORT_ORDER = {
     "run_log": ["run", "step", "counter"],
     "price_series": ["vendor", "product_id", "date", "category"],
     "dashboard_groups": ["category", "group_name", "group_id"],
+    "name_index": ["category", "brand", "name", "group_id", "vendor", "product_id"],
 }
 
 
