@@ -81,7 +81,7 @@ def test_a_table_that_always_moves_on_is_given_up(spark, store, monkeypatch):
 
     monkeypatch.setattr(sinks.TableStore, "_written", written)
     with pytest.raises(ConflictError, match="5 times"):
-        store.update("product_match", lambda stored: stored)
+        store.update("grouped_product_metrics", lambda stored: stored)
 
 
 def test_readers_keep_their_version_until_it_is_vacuumed(spark, store, tmp_path):
