@@ -1,17 +1,22 @@
 """License scans by conditional compression.
 
-Lines with a cue word, joined where they follow each other, are candidate blocks.  A
-block is compressed alone and with each template as a raw dictionary; the templates
-that save most are compared word by word, and the best is reported if the wording
-differs little enough.
+Words that notices hold are anchors.  The words around an anchor, as many as a template
+has to both sides whatever the line ends, are candidate blocks.  A block is compressed
+alone and with each template as a raw dictionary; templates that save enough of their
+own size are compared word by word, and the best is reported if the wording differs
+little enough.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import cache
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -21,119 +26,153 @@ from pyspark.sql import functions as F
 from pricing_engine.llm.common import slices
 from pricing_engine.llm.license_templates import templates
 
+# looked for in words joined by one space, so that line ends and comment marks don't part them
 CUES = re.compile(
     r"licen[sc]|copyright|\bspdx|warrant(?:y|ies)|permission is hereby|permission to use|redistribut|public domain"
-    r"|rights reserved|creative commons|copyleft|\bcc0\b|free software|free and unencumbered|shall be included"
-    r"|is provided .{0,12}as is|opensource\.org|gnu\.org/",
-    re.I,
+    r"|rights reserved|creative commons|copyleft|\bcc0\b|free software|free and unencumbered|opensource org|gnu org"
 )
 # every cue holds one of these, which is quicker to tell
 PLAIN = (
-    "licen", "copyright", "spdx", "warrant", "permission", "redistribut", "public domain", "rights reserved",
-    "creative commons", "copyleft", "cc0", "free software", "unencumbered", "shall be included", "is provided",
-    "opensource.org", "gnu.org/",
+    "licen", "copyright", "spdx", "warrant", "permission", "redistribut", "domain", "reserved", "commons", "copyleft",
+    "cc0", "software", "unencumbered", "opensource", "gnu",
 )
-RANKED = 6  # templates of each block whose wording is compared
-LEAST_SAVED = 0.15  # of a block's compressed size
-MOST_MISSING = 0.1  # of a template's words; templates of under 20 words must be whole
-LEVEL = 3
+SHORT = 20  # words; templates of fewer must be whole, and have blocks of their own
+LEAST_SAVED = 0.02  # of a template's own compressed size
+MOST_MISSING = 0.1  # of a template's words
+LEVEL = 13  # quicker levels overlook short matches near the end of a block
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+_GONE = "\n"  # stands for words of a notice that has been found; never a word
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+class Template(NamedTuple):
+    rank: int
+    name: str
+    wording: str
+    words: list[str]
+    counts: Counter
+    missing: int  # words that may be missing
+    added: int  # words that may stand in between
+    size: int  # bytes, compressed alone
+    given: zstandard.ZstdCompressor
+
+
 @cache
-def _compressors() -> tuple[zstandard.ZstdCompressor, list[tuple[str, str, list[str], zstandard.ZstdCompressor]]]:
+def _compressors() -> tuple[zstandard.ZstdCompressor, list[list[Template]]]:
+    """A compressor without dictionary, and the templates: long ones, short ones."""
     options = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
-    known = []
-    for name, wording in templates():
-        plain = " ".join(words(wording))
+    alone = zstandard.ZstdCompressor(**options)
+    long: list[Template] = []
+    short: list[Template] = []
+    for rank, (name, wording) in enumerate(templates()):
+        own = words(wording)
+        plain = " ".join(own).encode()
         # compressors take eight bytes at least as a dictionary
-        book = zstandard.ZstdCompressionDict(plain.encode().ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        known.append((name, wording, words(wording), zstandard.ZstdCompressor(dict_data=book, **options)))
-    return zstandard.ZstdCompressor(**options), known
+        book = zstandard.ZstdCompressionDict(plain.ljust(8), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        book.precompute_compress(level=LEVEL)
+        few = len(own) < SHORT
+        most = int(MOST_MISSING * len(own))
+        (short if few else long).append(
+            Template(
+                rank, name, wording, own, Counter(own), 0 if few else most, max(1, most), len(alone.compress(plain)),
+                zstandard.ZstdCompressor(dict_data=book, **options),
+            )
+        )
+    return alone, [long, short]
 
 
-def blocks(text: str | None) -> Iterator[tuple[int, int]]:
-    """(start, end) of runs of lines with a cue, in characters.
+def blocks(anchors: list[int], size: int, reach: int) -> Iterator[tuple[int, int]]:
+    """(first, last), last excluded, of runs of words that lie within ``reach`` of an anchor.
 
-    Lines between two with a cue belong to the run if at most two lines lie there.
+    Runs of more than four times ``reach`` come in pieces that overlap by twice
+    ``reach``, so that a notice is whole in one of them.
     """
-    if not text or not any(map(text.lower().__contains__, PLAIN)) or not CUES.search(text):
-        return
-    start = end = None
-    at = gap = 0
-    for line in text.split("\n"):
-        if CUES.search(line):
-            if start is None:
-                start = at
-            end, gap = at + len(line), 0
-        elif start is not None:
-            gap += 1
-            if gap > 2:
-                yield start, end
-                start = None
-        at += len(line) + 1
-    if start is not None:
-        yield start, end
-
-
-def compared(template: list[str], own: list[str]) -> tuple[int, int, int, int]:
-    """(first word, last word, template words missing, words added in between)."""
-    runs = [r for r in SequenceMatcher(None, template, own, autojunk=False).get_matching_blocks() if r.size]
-    # a run that stands far from the others is a chance hit
-    while len(runs) > 1:
-        spread = runs[-1].b + runs[-1].size - runs[0].b
-        if spread <= 1.5 * len(template) + 5:
-            break
-        runs = runs[1:] if runs[0].size < runs[-1].size else runs[:-1]
-    if not runs:
-        return 0, 0, len(template), 0
-    found = sum(r.size for r in runs)
-    first, last = runs[0].b, runs[-1].b + runs[-1].size
-    return first, last, len(template) - found, last - first - found
+    runs: list[list[int]] = []
+    for at in anchors:
+        first, last = max(0, at - reach), min(size, at + reach + 1)
+        if runs and first <= runs[-1][1]:
+            runs[-1][1] = last
+        else:
+            runs.append([first, last])
+    for first, last in runs:
+        while last - first > 4 * reach:
+            yield first, first + 4 * reach
+            first += 2 * reach
+        yield first, last
+
+
+def compared(template: Template, own: list[str]) -> tuple[int, int, int, int] | None:
+    """(first word, end, template words missing, words added in between), None if too much differs.
+
+    The longest run in common is where the two are laid on each other; if the words
+    there differ too much, the next longest is taken.
+    """
+    n = len(template.words)
+    # a wording that may pass has a run at least this long between its differences
+    least = max(1, (n - template.missing) // (template.missing + template.added + 1))
+    own = list(own)
+    while True:
+        run = SequenceMatcher(None, template.words, own, autojunk=False).find_longest_match()
+        if run.size < least:
+            return None
+        start = max(0, run.b - run.a - template.added)
+        near = own[start : run.b + n - run.a + template.added]
+        if n - sum((template.counts & Counter(near)).values()) <= template.missing:
+            pairs = SequenceMatcher(None, template.words, near, autojunk=False).get_matching_blocks()[:-1]
+            found = sum(r.size for r in pairs)
+            first, last = pairs[0].b, pairs[-1].b + pairs[-1].size
+            if n - found <= template.missing and last - first - found <= template.added:
+                return start + first, start + last, n - found, last - first - found
+        own[run.b : run.b + run.size] = [_GONE] * run.size
 
 
 def scan(text: str | None) -> Iterator[tuple]:
     """(start, end, license, wording, bytes alone, bytes given, saved, missing, added) of a whole text."""
-    alone, known = _compressors()
-    for start, end in blocks(text):
-        at = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text, start, end)]
-        own = [w for _, _, w in at]
-        free = [True] * len(own)
-        while True:
-            left = [w for w, f in zip(own, free) if f]
-            if not left:
-                break
-            plain = " ".join(left).encode()
-            size = len(alone.compress(plain))
-            ranked = sorted(
-                ((size - len(c.compress(plain)), k) for k, (_, _, _, c) in enumerate(known)), key=lambda x: (-x[0], x[1])
-            )
-            best = None
-            for saved, k in ranked[:RANKED]:
-                if saved < LEAST_SAVED * size:
+    if not text:
+        return
+    lowered = text.lower()
+    if not any(map(lowered.__contains__, PLAIN)):
+        return
+    places = [m.span() for m in _WORD.finditer(text)]
+    own = [text[a:b].lower() for a, b in places]
+    starts = list(accumulate((len(w) + 1 for w in own), initial=0))
+    anchors = [bisect_right(starts, m.start()) - 1 for m in CUES.finditer(" ".join(own))]
+    if not anchors:
+        return
+    alone, kinds = _compressors()
+    for known in kinds:
+        reach = max(len(t.words) + t.added for t in known)
+        for low, high in blocks(anchors, len(own), reach):
+            while True:
+                block = own[low:high]
+                plain = " ".join(w for w in block if w != _GONE).encode()
+                size = len(alone.compress(plain))
+                held = Counter(block)
+                best = None
+                for t in known:
+                    given = len(t.given.compress(plain))
+                    if size - given < LEAST_SAVED * t.size:
+                        continue
+                    if len(t.words) - sum((t.counts & held).values()) > t.missing:
+                        continue
+                    place = compared(t, block)
+                    if place is not None:
+                        *_, missing, added = place
+                        differing = missing + added
+                        row = (len(t.words) - differing, -differing, size - given, -t.rank, place, t, given)
+                        best = row if best is None or row[:4] > best[:4] else best
+                if best is None:
                     break
-                name, wording, template, _ = known[k]
-                first, last, missing, added = compared(template, left)
-                most = 0 if len(template) < 20 else int(MOST_MISSING * len(template))
-                if missing > most or added > max(1, int(MOST_MISSING * len(template))):
-                    continue
-                row = (len(template) - missing - added, saved, -k, first, last, missing, added)
-                if best is None or row > best:
-                    best = row
-            if best is None:
-                break
-            _, saved, k, first, last, missing, added = best
-            places = [i for i, f in enumerate(free) if f][first:last]
-            yield (
-                at[places[0]][0], at[places[-1]][1], known[-k][0], known[-k][1], size, size - saved,
-                saved / size, missing, added,
-            )
-            for i in places:
-                free[i] = False
+                *_, (first, last, missing, added), t, given = best
+                first, last = low + first, low + last
+                yield (
+                    places[first][0], places[last - 1][1], t.name, t.wording, size, given, (size - given) / size, missing,
+                    added,
+                )
+                own[first:last] = [_GONE] * (last - first)
 
 
 SCHEMA = (
@@ -146,9 +185,10 @@ def found_licenses(docs: DataFrame) -> DataFrame:
     """A row for every license notice in ``docs`` (doc_id, text), in whole texts.
 
     start, end: characters of the notice; bytes_alone, bytes_given: the size of its
-    block compressed alone and given the license's wording; missing_words,
-    added_words: how the wording differs; match: ``exact`` or ``modified``.  Blocks may
-    hold several notices.  Null or empty texts have none; repeated rows give rows of
+    block compressed alone and given the license's wording; saved: the share that
+    this saves; missing_words, added_words: how the wording differs; match: ``exact``
+    or ``modified``.  Blocks may hold several notices; line ends and marks before
+    lines don't matter.  Null or empty texts have none; repeated rows give rows of
     their own; nothing is shuffled.
     """
 

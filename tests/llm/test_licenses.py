@@ -1,3 +1,5 @@
+import textwrap
+
 import plain
 import pytest
 
@@ -48,3 +50,40 @@ def test_edge_cases(spark):
     found = licenses.found_licenses(spark.createDataFrame(rows, "doc_id long, text string, start int"))
     assert sorted(((r.doc_id or 0, r.license) for r in found.collect())) == [(0, "Proprietary"), (3, "MIT"), (4, "CC-BY-4.0"), (4, "CC-BY-4.0")]
     assert licenses.found_licenses(spark.createDataFrame([], "doc_id int, text string")).collect() == []
+
+
+LONG = [(n, w) for n, w in templates() if len(licenses.words(w)) >= licenses.SHORT]
+FILLER = ("some plain words of a page that tell about the weather in the north and what people there do about it " * 40).split()
+
+
+@pytest.mark.parametrize("width", [60, 72, 78, 80])
+@pytest.mark.parametrize(("name", "wording"), LONG)
+def test_wrapped_wordings(name, wording, width):
+    lines = [x for part in wording.split("\n") for x in textwrap.wrap(part, width)]
+    for before in ("", "# ", " * ", "// "):
+        text = "int x = 1;\n" + "\n".join(before + x for x in lines) + "\nint y = 2;"
+        assert names(text) == [(name, 0, 0)]
+
+
+@pytest.mark.parametrize(("name", "wording"), templates())
+def test_notices_inside_longer_lines(name, wording):
+    for around in (0, 1, 10, 20, 40, 80, 160):
+        text = " ".join(FILLER[:around]) + " " + wording + " " + " ".join(FILLER[around : 2 * around])
+        assert names(text) == [(name, 0, 0)]
+
+
+@pytest.mark.parametrize(("name", "wording"), LONG)
+def test_edits_up_to_the_bound(name, wording):
+    """Replaced words count as missing and as added; one in twelve is within a tenth, one in seven is not."""
+    for step, found in ((12, True), (7, False)):
+        edited = " ".join("zebra" if i % step == 5 else w for i, w in enumerate(wording.split()))
+        got = [x for x in names("before it\n" + edited + "\nafter it") if x[0] == name and x[1]]
+        assert bool(got) == found
+
+
+def test_many_notices_in_a_text():
+    """Every copy is found, whatever blocks they fall in."""
+    mit, short = dict(reversed(LONG))["MIT"], "Released under the MIT License."
+    text = " ".join([mit, "and", short, " ".join(FILLER[:100])] * 20)
+    assert names(text) == [("MIT", 0, 0)] * 40
+    assert names(" ".join(["Licensed under CC BY 4.0."] * 500)) == [("CC-BY-4.0", 0, 0)] * 500
