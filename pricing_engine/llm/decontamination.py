@@ -26,7 +26,7 @@ from pricing_engine.session import staged
 K1, B = 1.2, 0.75
 LEAST_SCORE = 0.5
 LEAST_OVERLAP = 0.8
-PASSAGE = 64  # words, or the longest item's
+PASSAGE = 64  # words; twice, four times as many and so on for longer items
 RANGE = 8  # items of a block; items are ordered by length, so that a block's weights are alike
 CLOSED = 0.4  # of the least score: what the unopened lists may reach
 CHUNK = 512  # passages scored at a time
@@ -208,7 +208,9 @@ _WORDS = "item_id long, text string, words array<string>"
 def indexes(items: DataFrame, most: int = INDEX_ITEMS) -> Iterator[Index]:
     """Indexes of all ``items`` (item_id, text), about ``most`` items each, with common statistics.
 
-    What a task holds of them is bounded by ``most`` and ``INDEX_CHARS``.  Words and lengths are counted over all items; one block of items is fetched at a time.
+    What a task holds of them is bounded by ``most`` and ``INDEX_CHARS``.  Words and
+    lengths are counted over all items; one block of items is fetched at a time.  Items
+    are apart by length, so that passages are as wide as an index's own items need.
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,21 +219,20 @@ def indexes(items: DataFrame, most: int = INDEX_ITEMS) -> Iterator[Index]:
             yield pa.RecordBatch.from_arrays([*batch.columns, words], names=["item_id", "text", "words"])
 
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = staged(rows.mapInArrow(split, _WORDS), "items")
-    total, length, longest, chars = rows.agg(
-        F.count("*"), F.avg(F.size("words")), F.max(F.size("words")), F.sum(F.length("text"))
-    ).first()
-    if not total:
-        return
-    passage = max(PASSAGE, longest + longest % 2)
-    blocks = max(-(-total // most), -(-chars // INDEX_CHARS))
+    halvings = F.ceil(F.log2(F.greatest(F.size("words") / PASSAGE, F.lit(1.0))))
+    rows = rows.mapInArrow(split, _WORDS).withColumn("passage", (F.pow(F.lit(2), halvings) * PASSAGE).cast("int"))
+    rows = staged(rows, "items")
+    total, length = rows.agg(F.count("*"), F.avg(F.size("words"))).first()
     counted = rows.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").count()
-    for block in range(blocks):
-        own = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        mine = own.select(F.explode("words").alias("t")).distinct()
-        frequency = {r[0]: r[1] for r in counted.join(mine, "t").collect()}
-        held = [(r.item_id, r.text) for r in own.select("item_id", "text").collect()]
-        yield build(held, total, max(1.0, float(length)), frequency, passage)
+    widths = rows.groupBy("passage").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).orderBy("passage")
+    for width in widths.collect():  # a row for each doubling of length
+        blocks = max(-(-width.n // most), -(-width.chars // INDEX_CHARS))
+        for block in range(blocks):
+            own = rows.filter((F.col("passage") == width.passage) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block))
+            mine = own.select(F.explode("words").alias("t")).distinct()
+            frequency = {r[0]: r[1] for r in counted.join(mine, "t").collect()}
+            held = [(r.item_id, r.text) for r in own.select("item_id", "text").collect()]
+            yield build(held, total, max(1.0, float(length)), frequency, width.passage)
 
 
 SCHEMA = (
@@ -246,7 +247,8 @@ def contaminated(
 
     Null or empty texts have none; items without words are never found; repeated rows
     and items give rows of their own; no rows or no items, no rows.  Documents are
-    read once for every ``INDEX_ITEMS`` items, and never shuffled.
+    read once for every ``INDEX_ITEMS`` items and every doubling of their length, and
+    never shuffled.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = f"doc_id long, {SCHEMA}"
@@ -279,9 +281,10 @@ def clean(
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kept = [not hits(held.value, t, least, least_overlap) for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(kept, pa.bool_()))
+            for whole in batches:
+                for batch in slices(whole):
+                    kept = [not hits(held.value, t, least, least_overlap) for t in batch.column(at).to_pylist()]
+                    yield batch.filter(pa.array(kept, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

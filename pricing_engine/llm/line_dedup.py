@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pricing_engine.llm.common import content_key, fresh_name
 
 MAX_RATIO = 0.1
-MIN_PAGES = 5
+MIN_PAGES = 2  # a line on a single page is nobody's boilerplate, whatever its ratio
 
 HIDDEN = r"(?is)<(?:script\b[^>]*+>.*?</script\s*+>|style\b[^>]*+>.*?</style\s*+>|!--.*?-->)"
 BREAKS = (

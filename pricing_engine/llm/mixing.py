@@ -107,12 +107,13 @@ def balance(cells: DataFrame, targets: DataFrame, most: int = MOST_COPIES, toler
     return state.select("key", "multiplier")
 
 
-def _cell_copies(cells: DataFrame, most: int, passes: int = 12) -> DataFrame:
+def _cell_copies(cells: DataFrame, most: int) -> DataFrame:
     """Whole copies of each cell of (key, size): near number * rate, and near the target in words.
 
     Running sums by falling size are rounded, so that a source's copies are right
     within one; what is then missing or over in words is settled with the largest
-    sizes that fit, pass by pass, until no size fits.  A source has at most as many
+    sizes that fit, pass by pass, until no size fits: each pass brings every source
+    that is not there nearer by one size at least.  A source has at most as many
     cells as distinct document sizes.
     """
     order = Window.partitionBy("key").orderBy(F.desc("size"))
@@ -122,7 +123,7 @@ def _cell_copies(cells: DataFrame, most: int, passes: int = 12) -> DataFrame:
     copies = F.col("upto") - F.coalesce(F.lag("upto").over(order), F.lit(0))
     copies = F.least(F.greatest(copies, F.lit(0)), F.col("number") * most)
     cells = staged(cells.withColumn("copies", copies).drop("upto"), "cells")
-    for _ in range(passes):
+    while True:
         over = cells.groupBy("key").agg(
             (F.round(F.first("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("missing")
         )

@@ -56,9 +56,8 @@ def statistics(text: str | None) -> list[float]:
     lines = [x for x in text.split("\n") if x.strip()]
     worst = [0.0, 0.0, 0.0, 0.0]
     for at in range(0, k, PIECE):
+        at = min(at, max(0, k - PIECE))  # the last piece overlaps the one before
         piece = words[at : at + PIECE]
-        if len(piece) < PIECE // 3 and at:
-            break
         joined, size = " ".join(piece), len(piece)
         parts = (
             sum(map(str.isupper, piece)), len(_RARE.findall(joined)), len(_SHOUT.findall(joined)),
@@ -257,8 +256,8 @@ def accepted(docs: DataFrame, labels: DataFrame, use: Column, threshold: float =
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in slices(whole):
                 stats = np.array([statistics(t) for t in batch.column(at).to_pylist()])
                 yield batch.filter(pa.array(model.score(stats) >= threshold))
 

@@ -125,7 +125,7 @@ WITH shown AS (
 ), totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host
 ), counts AS (SELECT host, key, count(DISTINCT page_id) AS n FROM k WHERE key <> '' GROUP BY host, key
 ), frequent AS (
-  SELECT host, key FROM counts JOIN totals USING (host) WHERE n >= 5 AND n > pages * CAST(0.1 AS DOUBLE)
+  SELECT host, key FROM counts JOIN totals USING (host) WHERE n >= 2 AND n > pages * CAST(0.1 AS DOUBLE)
 )
 SELECT page_id, host, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE f.key IS NULL), '') AS text,
   count(*) AS n_lines, count(f.key) AS n_dropped

@@ -80,3 +80,16 @@ def test_edge_cases(spark):
     # several indexes give the same leaks
     parts = list(d.indexes(items, most=2))
     assert len(parts) > 1 and sum(len(p.items) for p in parts) == 5
+
+
+def test_a_long_item_does_not_widen_the_others(spark):
+    """Question and answer of a short item far apart are no leak, whatever other items there are."""
+    short = "who painted the old harbour at dawn? it was a fisherman named orlo brandt from kesh"
+    long = "what is in the long report? " + " ".join(f"report{i}" for i in range(900))
+    items = spark.createDataFrame([(1, short), (2, long), (3, None)], "item_id long, text string")
+    question, answer = short.split("?")
+    filler = " ".join(f"n{i}" for i in range(300))
+    rows = [(1, f"{question}? {filler} {answer}"), (2, f"{filler} {short} {filler}"), (3, f"{filler} {long} {filler}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, items).collect()} == {(2, 1), (3, 2)}
+    assert [p.passage for p in d.indexes(items)] == [64, 1024]

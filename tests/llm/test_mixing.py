@@ -70,3 +70,11 @@ def test_rates_are_tilted_by_size(spark):
 def test_query_runs_without_python(spark):
     plan = queries.op8_mix_sources(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_words_missing_are_settled_to_the_last(spark):
+    """One document of each size: many passes are needed, and no size that still fits is left."""
+    rows = [(i, "w " * n, "s") for i, n in enumerate([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096])]
+    for share in (0.3, 0.7, 1.1, 1.9):
+        found = mixing.mixed(spark.createDataFrame(rows, DOCS), weights=(1,), share=share).collect()
+        assert sum(r.taken for r in found) == round(found[0].target)

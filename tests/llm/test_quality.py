@@ -68,3 +68,11 @@ def test_stage_keeps_good_documents(spark):
     kept = {r.doc_id for r in corpus_pipeline.reject_low_quality(spark, docs, SF_DIR).collect()}
     labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()
     assert np.mean([(r.doc_id in kept) == bool(r.quality) for r in labels]) > 0.97
+
+
+def test_junk_counts_wherever_it_stands():
+    """The worst piece is found at the end of a text as at its start."""
+    clean, junk = "plain words of a quiet report " * 20, "BUY @#$ NOW!!! ### WIN " * 3
+    worst = slice(quality.STATISTICS.index("worst_upper"), quality.STATISTICS.index("worst_shouts") + 1)
+    first, last = (np.array(quality.statistics(t)[worst]) for t in (junk + clean, clean + junk))
+    assert np.all(first > 0) and last == pytest.approx(first)
