@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricing_engine.functions import html as H
 from pricing_engine.functions import payload_fields as P
@@ -48,13 +49,25 @@ def _records(
 
 
 def _json_fields(payloads: DataFrame, fields: list[str]) -> DataFrame:
-    """The body parsed once, as ``j``, with the top-level keys it states as ``keys``."""
-    schema = ", ".join(f"{field} string" for field in fields)
+    """The body parsed once, as a variant: ``j`` has its top-level fields as text, ``stated`` which keys it has.
+
+    Bodies that are landed as VARIANT are not parsed again.  A null that a key states
+    is a value of a variant, so that it differs from an absent key.  What is no JSON
+    object, or (unless ``spark.sql.variant.allowDuplicateKeys`` is set) repeats a
+    key, has no field.
+    """
+    landed = isinstance(payloads.schema["body"].dataType, T.VariantType)
+    body = F.col("body") if landed else F.try_parse_json("body")
+    parsed = computed_once(payloads, *_CONTEXT, body.alias("v"))
+
+    def field(name: str, kind: str) -> Column:
+        return F.try_variant_get(F.col("v"), f"$.{name}", kind)
+
     return computed_once(
-        payloads,
+        parsed,
         *_CONTEXT,
-        F.from_json("body", schema).alias("j"),
-        F.coalesce(F.json_object_keys("body"), F.array()).alias("keys"),
+        F.struct(*[field(name, "string").alias(name) for name in fields]).alias("j"),
+        F.struct(*[field(name, "variant").isNotNull().alias(name) for name in fields]).alias("stated"),
     )
 
 
@@ -72,14 +85,13 @@ def read_json_list_price(payloads: DataFrame) -> DataFrame:
     A ``discount_price`` key replaces the price even when its value is null.
     """
     parsed = _json_fields(payloads, ["id", "slug", "brand", "name", "price", "discount_price"])
-    null_name = F.array_contains("keys", "name") & F.col("j.name").isNull()
+    null_name = F.col("stated.name") & F.col("j.name").isNull()
     name = F.when(~null_name, F.coalesce("j.name", F.lit("")))
-    discounted = F.array_contains("keys", "discount_price")
     return _records(
         parsed,
         F.coalesce(_text("id"), _text("slug")),
         P.with_brand(_text("brand"), name),
-        F.when(discounted, F.col("j.discount_price")).otherwise(F.col("j.price")),
+        F.when(F.col("stated.discount_price"), F.col("j.discount_price")).otherwise(F.col("j.price")),
         _known_source(),
         name_required=False,
     )

@@ -239,3 +239,21 @@ def test_long_chains_of_fetches(spark, monkeypatch):
     writes.clear()
     only = spark.createDataFrame([("c", "v", a, g, n) for n, (a, g) in enumerate(pairs[:300])], schema)
     assert ingest._needed_fetches(only, ["seq"]).count() == 150 and writes.count("chains") <= 11 and writes.count("judged") == 2
+
+
+def test_bodies_are_parsed_once_as_variants(spark):
+    """Bodies landed as VARIANT give the records that their texts give, without any parsing."""
+    bodies = [
+        {"id": 7, "name": "n", "price": 12.50, "discount_price": None}, {"slug": "s", "name": "é", "price": "3"},
+        {"id": "x", "name": None, "price": 1}, {"id": {"a": 1}, "price": 1e3}, [1], "no json", '{"id": 1', '{"id":1,"id":2}',
+    ]
+    frame = spark.createDataFrame([_payload("list", b, seq=i) for i, b in enumerate(bodies)], PAYLOADS)
+    landed = frame.withColumn("body", F.try_parse_json("body"))
+    for reader in (I.read_json_list_price, I.read_json_sized):
+        texts, variants = reader(frame), reader(landed)
+        assert sorted(map(str, texts.collect())) == sorted(map(str, variants.collect()))
+        plan = texts._jdf.queryExecution().optimizedPlan().toString()
+        assert "from_json" not in plan and "JsonToStructs" not in plan and plan.lower().count("parse_json") <= 1
+    found = {r.seq: (r.product_id, r.product_name, r.price) for r in I.read_json_list_price(frame).collect()}
+    assert found[0] == ("7", "n", None) and found[1] == ("s", "é", 3.0) and found[2][1] is None
+    assert found[3] == ('{"a":1}', "", 1000.0) and all(found[i][0] is None for i in (4, 5, 6, 7))
