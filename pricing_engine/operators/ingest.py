@@ -48,8 +48,8 @@ def _records(
     )
 
 
-def _json_fields(payloads: DataFrame, fields: list[str]) -> DataFrame:
-    """The body parsed once, as a variant: ``j`` has its top-level fields as text, ``stated`` which keys it has.
+def _json_fields(payloads: DataFrame, fields: list[str], stated: list[str] | None = None) -> DataFrame:
+    """The body parsed once, as a variant: ``j`` has its top-level fields as text, ``stated`` which of those keys it has.
 
     Bodies that are landed as VARIANT are not parsed again.  A null that a key states
     is a value of a variant, so that it differs from an absent key.  What is no JSON
@@ -63,11 +63,10 @@ def _json_fields(payloads: DataFrame, fields: list[str]) -> DataFrame:
     def field(name: str, kind: str) -> Column:
         return F.try_variant_get(F.col("v"), f"$.{name}", kind)
 
+    # a field is taken out of each body for every use, and nothing prunes those that have none
+    keys = [F.struct(*[field(name, "variant").isNotNull().alias(name) for name in stated]).alias("stated")] if stated else []
     return computed_once(
-        parsed,
-        *_CONTEXT,
-        F.struct(*[field(name, "string").alias(name) for name in fields]).alias("j"),
-        F.struct(*[field(name, "variant").isNotNull().alias(name) for name in fields]).alias("stated"),
+        parsed, *_CONTEXT, F.struct(*[field(name, "string").alias(name) for name in fields]).alias("j"), *keys
     )
 
 
@@ -84,7 +83,7 @@ def read_json_list_price(payloads: DataFrame) -> DataFrame:
 
     A ``discount_price`` key replaces the price even when its value is null.
     """
-    parsed = _json_fields(payloads, ["id", "slug", "brand", "name", "price", "discount_price"])
+    parsed = _json_fields(payloads, ["id", "slug", "brand", "name", "price", "discount_price"], ["name", "discount_price"])
     null_name = F.col("stated.name") & F.col("j.name").isNull()
     name = F.when(~null_name, F.coalesce("j.name", F.lit("")))
     return _records(
@@ -110,22 +109,35 @@ def read_json_sized(payloads: DataFrame) -> DataFrame:
         return F.coalesce(*[_text(field) for field in fields])
 
     parsed = _json_fields(payloads, _SIZED_FIELDS)
-    hit = P.detail_id(F.coalesce(first_of("id", "product_id", "sku"), first_of("url", "source_url")))
-    detail = F.coalesce(first_of("id", "sku"), P.detail_id(F.col("requested_product_id")))
-    named = computed_once(
+    specific = F.col("source") == SPECIFIC
+    # texts that later steps use several times
+    texts = computed_once(
         parsed,
         *_CONTEXT,
-        "j",
-        F.when(F.col("source") == SPECIFIC, detail).otherwise(hit).alias("id"),
-        P.with_brand(
-            first_of("brand", "product_brand"), F.coalesce(first_of("name", "product_name"), F.lit(""))
-        ).alias("name"),
+        F.when(specific, first_of("id", "sku")).alias("own"),
+        strip_spaces(
+            F.when(specific, F.col("requested_product_id")).otherwise(
+                F.coalesce(first_of("id", "product_id", "sku"), first_of("url", "source_url"))
+            )
+        ).alias("identifier"),
+        first_of("brand", "product_brand").alias("brand"),
+        F.coalesce(first_of("name", "product_name"), F.lit("")).alias("title"),
+        first_of("size", "product_size").alias("size"),
+        F.coalesce("j.discount_price", "j.price", "j.current_price").alias("price"),
+    )
+    named = computed_once(
+        texts,
+        *_CONTEXT,
+        F.coalesce("own", P.detail_id(F.col("identifier"))).alias("id"),
+        P.with_brand(F.col("brand"), F.col("title")).alias("name"),
+        "size",
+        "price",
     )
     return _records(
         named,
         F.col("id"),
-        P.with_size(F.col("name"), first_of("size", "product_size")),
-        F.coalesce("j.discount_price", "j.price", "j.current_price"),
+        P.with_size(F.col("name"), F.col("size")),
+        F.col("price"),
         _known_source(),
         name_required=False,
     )

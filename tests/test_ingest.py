@@ -36,6 +36,13 @@ def _read(spark, *payloads):
     return good.orderBy("seq").collect(), {r.seq: r.reason for r in bad.collect()}
 
 
+def test_no_field_is_taken_out_for_nothing(spark):
+    """Only the reader that tells a stated null from an absent key asks which keys a body has."""
+    payloads = spark.createDataFrame([_payload("sized", {"id": "7"})], PAYLOADS)
+    assert "stated" not in I._json_fields(payloads, I._SIZED_FIELDS).columns
+    assert I._json_fields(payloads, ["id", "name"], ["name"]).schema["stated"].dataType.names == ["name"]
+
+
 def test_json_with_list_price(spark):
     tissue = {"id": "2372797", "slug": "s", "name": "3 Ply Tissues", "brand": "Kleenex", "price": 2.6}
     good, bad = _read(
