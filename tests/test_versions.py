@@ -157,3 +157,19 @@ def test_stream_applies_each_batch_once(spark, store, tmp_path, monkeypatch):
     assert prices(store.read("price_history")) == [(DAY[0], "p", 3.0), (DAY[0], "q", 2.0), (DAY[1], "p", 5.0)]
     assert {r.product_id: (r.product_name, r.last_seen) for r in store.read("products").collect()} == {"p": ("New", DAY[1]), "q": ("Q", DAY[0])}
     assert {r.product_id: (r.max_price, r.min_price) for r in store.read("product_metrics").collect()} == {"p": (5.0, 1.0), "q": (2.0, 2.0)}
+
+
+def test_buckets_are_written_once(spark, store, monkeypatch):
+    """No copy of the rows goes before a table in buckets; its log names the folders that were made."""
+    copies = []
+    monkeypatch.setattr(sinks, "staged", lambda rows, name: copies.append(name) or rows)
+    rows = spark.range(40).selectExpr(
+        "cast(id as string) product_id", "'v' vendor", "'n' product_name", "'c' category", "'search' source", "date'2024-01-01' last_seen"
+    )
+    store.replace("products", rows)
+    version = store.version("products")
+    assert not copies and set(version.folders) == {"0", "1", "2", "3"}
+    assert all(f.endswith(f"/bucket={p}") for p, f in version.folders.items())
+    assert sorted(r.product_id for r in store.read("products").collect()) == sorted(str(i) for i in range(40))
+    store.replace("products", rows.limit(0))
+    assert store.version("products").folders == {} and store.read("products").count() == 0
