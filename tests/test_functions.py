@@ -218,3 +218,26 @@ def test_pages_that_would_overflow_a_matcher(value):
 def test_references(value):
     text = "&dollar;5&period;20 &amp; &#36;&#x24;&#0000000036; &eacute &notin; &unknown; &#1114112; &copy2"
     assert value(html.unescape(F.lit(text))) == "$5.20 & $$$ é ∉ &unknown; &#1114112; &copy2"
+
+
+def test_token_sort_is_worked_out_only_within_reach_of_the_floor(monkeypatch):
+    """A pair whose other scores leave the floor out of reach is not compared char by char."""
+    names = [("acme soap 12", "acme soap 13"), ("acme soap 12", "acme elephant trunk deluxe")]
+    frame = pd.DataFrame(
+        {
+            "l_name": [a for a, _ in names], "r_name": [b for _, b in names], "l_sorted": ["12 acme soap"] * 2,
+            "r_sorted": ["13 acme soap", "acme deluxe elephant trunk"], "l_only": ["12", "12 soap"],
+            "r_only": ["13", "deluxe elephant trunk"], "shared": [9, 4], "penalty": [0, 0],
+        }
+    )
+    whole = ratios.score_names(frame, -1000.0)
+    asked, plain = [], ratios.ratios
+    monkeypatch.setattr(ratios, "ratios", lambda a, b: asked.extend(a) or plain(a, b))
+    found = ratios.score_names(frame, 80.0)
+    assert len(asked) == 1 and found.iloc[0].equals(whole.iloc[0])
+    assert found.iloc[1].isna().all() and whole.iloc[1]["name_score"] < 80
+
+
+def test_windows_of_strands_that_no_window_lacks():
+    """Chars that lie further apart than the shorter text is long are in no window together."""
+    assert ratios.partial_ratios(["aa", "abba"], ["abbaba", "axxbxxbxxa"]).tolist() == pytest.approx([200 / 3, 50.0])
