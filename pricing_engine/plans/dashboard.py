@@ -14,7 +14,6 @@ from pricing_engine.functions.text import category_label, money_text
 from pricing_engine.operators.history import PRODUCT_KEY
 from pricing_engine.operators.numbering import number_rows
 from pricing_engine.plans.analysis import TOP_K, top_per_category
-from pricing_engine.session import staged
 
 # Fixed value: the price that a member without one sorts by
 NO_PRICE_RANK = 999
@@ -59,7 +58,7 @@ def nested_members(members: DataFrame, size: int = CHUNK) -> DataFrame:
     """
     price = F.coalesce(F.nullif("current_price", F.lit(0.0)), F.lit(float(NO_PRICE_RANK)))
     numbered = number_rows(members.withColumn("_price", price), ["group_id", "_price", "vendor", "product_id"], 0, "_place")
-    numbered = staged(numbered.drop("_price"), "members")
+    numbered = numbered.drop("_price")  # the numbering is written, so both uses read the same numbers
     first = numbered.groupBy("group_id").agg(F.min("_place").alias("_first"))
     chunk = F.expr(f"CAST((_place - _first) DIV {size} AS INT)").alias("chunk")
     placed = numbered.join(first, "group_id").select("group_id", chunk, F.struct("_place", *_MEMBER).alias("member"))

@@ -67,3 +67,15 @@ def found_kept(n):
         if i % 4:
             last[i % 5] = i
     return sum(1 for i in last.values() if i % 3)
+
+
+def test_nested_groups_reduce_the_lines_once(spark, monkeypatch):
+    """Groups and members come from one snapshot and one membership."""
+    from pricing_engine.catalogue import stored
+
+    read = []
+    for name in ("price_history", "membership"):
+        plain = getattr(stored.T, name)
+        monkeypatch.setattr(stored.T, name, lambda s, d, name=name, plain=plain: read.append(name) or plain(s, d))
+    assert stored.nested_groups(spark, "/root/testdata/sf0.001").count() > 0
+    assert sorted(read) == ["membership", "price_history"]
